@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .mixing import op10_pfair_mix
 from .neighbours import op2_multiprobe_neighbours
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -14,6 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op2_multiprobe_neighbours": op2_multiprobe_neighbours,
+        "op10_pfair_mix": op10_pfair_mix,
     }
 
 
