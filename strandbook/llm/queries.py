@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .idfiles import op9_dictionary_id_files
 from .mixing import op10_pfair_mix
 from .neighbours import op2_multiprobe_neighbours
+from .packing import op6_large_item_packing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +17,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op2_multiprobe_neighbours": op2_multiprobe_neighbours,
+        "op6_large_item_packing": op6_large_item_packing,
+        "op9_dictionary_id_files": op9_dictionary_id_files,
         "op10_pfair_mix": op10_pfair_mix,
     }
 
