@@ -13,6 +13,7 @@ from .mixing import op10_pfair_mix
 from .neighbours import op2_multiprobe_neighbours
 from .packing import op6_large_item_packing
 from .quality import op8_byte_cnn_quality
+from .surrogates import op7_keyed_surrogates
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +24,7 @@ def queries() -> dict[str, Query]:
         "op2_multiprobe_neighbours": op2_multiprobe_neighbours,
         "op4_byte_cnn_language": op4_byte_cnn_language,
         "op6_large_item_packing": op6_large_item_packing,
+        "op7_keyed_surrogates": op7_keyed_surrogates,
         "op8_byte_cnn_quality": op8_byte_cnn_quality,
         "op9_dictionary_id_files": op9_dictionary_id_files,
         "op10_pfair_mix": op10_pfair_mix,
