@@ -39,7 +39,7 @@ LENGTH = 400
 ANCHOR, SPAN = 128, 256  # q-grams and starts of the first anchors; together below LENGTH
 FINE, FINE_SPAN = 32, 64  # of the anchors at later offsets
 BITS = 27  # the table of repeated anchors has 2**BITS bits, 16 MB
-SLICE = 1 << 21  # bytes that are hashed together
+SLICE = 1 << 19  # bytes that are hashed together
 LAST = LENGTH - FINE - FINE_SPAN + 1  # where the last span of fine anchors begins
 NONE = -(1 << 63)
 
