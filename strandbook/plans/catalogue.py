@@ -2,10 +2,626 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import keys as K
+from ..operators import admission, crypto, feed, integrity, keystore, layout, replay, shred, transform
+from ..sources import documents
+from . import views as V
+from .views import sql
 
-def oracle_sql():
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+FOUND: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+PAGE, N = 20, 20
+EVENT = ["stream_id", "version", "id", "type", "data"]
+
+
+def query(text: str, *views: str) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        FOUND[f.__name__] = f
+        SQL[f.__name__] = sql(text, *views)
+        return f
+
+    return register
+
+
+def shared(spark: SparkSession, name: str) -> str:
+    """A new folder that executors share."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandbook-")
+    return f"{top}/{name}-{uuid.uuid4().hex}"
+
+
+# -- replay and heads ------------------------------------------------------------------------
+
+COLS = "stream_id, version, id, type, data"
+
+
+@query(f"SELECT {COLS} FROM se", "se")
+def replay_all(spark, d):
+    return replay.replay(V.stream_events(spark, d)).select(*EVENT)
+
+
+@query(f"SELECT {COLS} FROM se WHERE version >= 17", "se")
+def replay_from_version(spark, d):
+    return replay.replay(V.stream_events(spark, d), 17).select(*EVENT)
+
+
+@query(f"SELECT {COLS} FROM se WHERE version >= 5 AND version < 25", "se")
+def replay_window(spark, d):
+    return replay.replay(V.stream_events(spark, d), 5, 25).select(*EVENT)
+
+
+@query("SELECT stream_id, version, base_version, id FROM ce WHERE version >= 11", "ce")
+def replay_mid_commit(spark, d):
+    return replay.replay(V.commit_events(spark, d), 11).select("stream_id", "version", "base_version", "id")
+
+
+@query(f"SELECT {COLS} FROM se JOIN hd USING (stream_id) WHERE version > head - 5", "se", "hd")
+def recent_k_per_stream(spark, d):
+    return replay.latest(V.stream_events(spark, d), 5).select(*EVENT)
+
+
+@query("SELECT stream_id, head AS version FROM hd", "hd")
+def stream_heads(spark, d):
+    return replay.heads(V.stream_events(spark, d))
+
+
+@query("SELECT stream_id, head AS version, (head // 20) * 20 AS head, '\"v' || head || '\"' AS etag FROM hd", "hd")
+def head_resource(spark, d):
+    log = V.stream_events(spark, d)
+    return replay.head_resource(log, log.select("stream_id").distinct(), PAGE)
+
+
+ASKED = "(SELECT 'user-' || o_custkey AS stream_id FROM orders GROUP BY ALL)"
+
+
+@query(f"SELECT r.stream_id, head AS version, coalesce((head // 20) * 20, 0) AS head, CASE WHEN head IS NULL THEN '\"empty\"' ELSE '\"v' || head || '\"' END AS etag FROM {ASKED} r LEFT JOIN hd USING (stream_id)", "hd")
+def head_absent_streams(spark, d):
+    asked = V.table(spark, d, "orders").select(F.concat(F.lit("user-"), F.col("o_custkey").cast("string")).alias("stream_id")).distinct()
+    return replay.head_resource(V.stream_events(spark, d), asked, PAGE)
+
+
+@query("SELECT stream_id, CASE WHEN head % 2 = 0 THEN 304 ELSE 200 END AS status FROM hd", "hd")
+def head_poll_status(spark, d):
+    log = V.stream_events(spark, d)
+    found = replay.head_resource(log, log.select("stream_id").distinct(), PAGE)
+    known = F.concat(F.lit('"v'), (F.col("version") - F.col("version") % 2).cast("string"), F.lit('"'))
+    return replay.poll_status(found, known).select("stream_id", "status")
+
+
+@query("SELECT stream_id, version FROM (SELECT *, lag(value) OVER (PARTITION BY stream_id ORDER BY version) AS before FROM se) WHERE before > value", "se")
+def ts_regressions(spark, d):
+    return replay.time_regressions(V.stream_events(spark, d), "value").select("stream_id", "version")
+
+
+# -- keys ------------------------------------------------------------------------------------
+
+
+@query(
+    "SELECT stream_id, base_version, 'p/streams/' || stream_id || '/e/' || lpad(CAST(base_version AS VARCHAR), 12, '0') || '.json' AS path, 'p/streams/' || stream_id || '/c/' || lpad(CAST((base_version // 20) * 20 AS VARCHAR), 12, '0') || '.json' AS chunk, 'p/streams/' || stream_id || '/head.json' AS head, base_version AS parsed, lpad(CAST(commit_seq AS VARCHAR), 6, '0') AS key_id, commit_seq AS generation FROM cm",
+    "cm",
+)
+def key_codec(spark, d):
+    c = layout.commit_table(V.commit_events(spark, d))
+    s, b = F.col("stream_id"), F.col("base_version")
+    c = c.withColumn("path", K.commit_path("p", s, b)).withColumn("key_id", K.generation_id(F.col("commit_seq")))
+    return c.select("stream_id", "base_version", "path", K.chunk_path("p", s, K.bucket_base(b, 20)).alias("chunk"), K.head_path("p", s).alias("head"), K.base_of(F.col("path")).alias("parsed"), "key_id", K.generation_of(F.col("key_id")).alias("generation"))
+
+
+NAMES = "CASE event_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'a/' || event_id WHEN 2 THEN '$' || event_id ELSE 's' || event_id END"
+
+
+@query(f"SELECT event_id, {NAMES} AS name, event_id % 5 > 2 AS valid, event_id % 5 > 1 AS valid_reserved FROM events")
+def stream_id_validation(spark, d):
+    e = V.table(spark, d, "events").select("event_id", F.expr(NAMES).alias("name"))
+    return e.withColumns({"valid": K.valid_stream_id(F.col("name")), "valid_reserved": K.valid_stream_id(F.col("name"), True)})
+
+
+@query("SELECT event_id, CASE WHEN value - 50 <= 0 THEN 0 ELSE CAST(floor((value - 50) / 7) AS BIGINT) * 7 END AS page_from FROM events")
+def canonical_from(spark, d):
+    return V.table(spark, d, "events").select("event_id", K.canonical_from(F.col("value") - 50, 7).alias("page_from"))
+
+
+# -- layouts ---------------------------------------------------------------------------------
+
+
+def _commits(spark, d):
+    return layout.commit_table(V.commit_events(spark, d))
+
+
+@query("SELECT stream_id, commit_seq, base_version, commit_size, last_version FROM cm", "cm")
+def commit_envelopes(spark, d):
+    return _commits(spark, d)
+
+
+CHUNKS = "SELECT stream_id, min(base_version) AS chunk_base, {n} AS n, count(*) AS commits, max(last_version) AS last_version, count(*) >= {n} AS sealed FROM cm GROUP BY stream_id, commit_seq // {n}"
+
+
+@query(CHUNKS.format(n="CAST(4 AS BIGINT)"), "cm")
+def tail_chunks(spark, d):
+    return layout.tail_chunks(_commits(spark, d), 4)
+
+
+@query("SELECT stream_id, min(base_version) AS chunk_base, n, count(*) AS commits, max(last_version) AS last_version, count(*) >= n AS sealed FROM (SELECT *, CAST(2 + length(stream_id) % 3 AS BIGINT) AS n FROM cm) GROUP BY stream_id, n, commit_seq // n", "cm")
+def tail_chunks_policy(spark, d):
+    return layout.tail_chunks(_commits(spark, d), 2 + F.length("stream_id") % 3)
+
+
+BYTES = "bs AS (SELECT stream_id, commit_seq, base_version, CAST(sum(length(data) * 10) AS BIGINT) AS bytes FROM ce GROUP BY ALL), fo AS (SELECT stream_id, commit_seq, base_version AS chunk_base, base_version, 1 AS c, bytes AS held FROM bs WHERE commit_seq = 0 UNION ALL SELECT b.stream_id, b.commit_seq, CASE WHEN f.c >= 6 OR f.held >= 700 THEN b.base_version ELSE f.chunk_base END, b.base_version, CASE WHEN f.c >= 6 OR f.held >= 700 THEN 1 ELSE f.c + 1 END, CASE WHEN f.c >= 6 OR f.held >= 700 THEN b.bytes ELSE f.held + b.bytes END FROM fo f JOIN bs b ON b.stream_id = f.stream_id AND b.commit_seq = f.commit_seq + 1)"
+
+
+@query("SELECT 1", "ce")
+def tail_chunks_bytecap(spark, d):
+    e = V.commit_events(spark, d)
+    c = e.groupBy("stream_id", "commit_seq", "base_version").agg(F.sum(F.octet_length("data") * 10).cast("long").alias("bytes"))
+    return layout.roll_by_size(c, "bytes", 6, 700).select("stream_id", "commit_seq", "base_version", "chunk_base")
+
+
+SQL["tail_chunks_bytecap"] = sql("", "ce").rstrip() + f", {BYTES} SELECT stream_id, commit_seq, base_version, chunk_base FROM fo"
+
+
+@query("SELECT stream_id, version, id FROM ce WHERE version >= 30", "ce")
+def chunk_pruned_replay(spark, d):
+    e = V.commit_events(spark, d)
+    chunks = layout.tail_chunks(layout.commit_table(e), 4)
+    return layout.chunk_pruned(e, chunks, 30).select("stream_id", "version", "id")
+
+
+BUCKET = "(SELECT *, (base_version // 10) * 10 AS bucket FROM cm)"
+SEALED = f"SELECT stream_id, bucket, count(*) AS commits, CAST(sum(commit_size) AS BIGINT) AS events, min(base_version) AS first_base, max(base_version) AS last_base, (SELECT max(base_version) FROM cm x WHERE x.stream_id = b.stream_id) >= bucket + 10 AS sealed FROM {BUCKET} b GROUP BY ALL"
+
+
+@query("SELECT stream_id, commit_seq, base_version, bucket FROM " + BUCKET, "cm")
+def bucket_assignment(spark, d):
+    return _commits(spark, d).select("stream_id", "commit_seq", "base_version", K.bucket_base(F.col("base_version"), 10).alias("bucket"))
+
+
+@query(SEALED, "cm")
+def sealed_buckets(spark, d):
+    return layout.sealed_buckets(_commits(spark, d), 10)
+
+
+@query(f"SELECT stream_id, min(bucket) AS bucket FROM ({SEALED}) WHERE sealed AND NOT (bucket = 0 AND length(stream_id) % 2 = 0) GROUP BY stream_id", "cm")
+def compaction_plan(spark, d):
+    buckets = layout.sealed_buckets(_commits(spark, d), 10)
+    done = buckets.where("bucket = 0 AND length(stream_id) % 2 = 0").select("stream_id", F.col("bucket").alias("chunk_base"))
+    return layout.compaction_plan(buckets, done)
+
+
+@query("SELECT stream_id, commit_seq, base_version, base_version >= 10 + 10 * (length(stream_id) % 2) AS suggested FROM cm", "cm")
+def compaction_suggested(spark, d):
+    return layout.compaction_suggested(_commits(spark, d), 10 * (F.length("stream_id") % 2), 10).select("stream_id", "commit_seq", "base_version", "suggested")
+
+
+@query("SELECT stream_id, version, id FROM ce", "ce")
+def compacted_read(spark, d):
+    """Chunks of sealed buckets, with the whole tail still there: nothing is read twice."""
+    e = V.commit_events(spark, d)
+    chunked = layout.compact(e, layout.sealed_buckets(layout.commit_table(e), 10), 10)
+    return layout.compacted_read(chunked, e, 10).select("stream_id", "version", "id")
+
+
+@query("SELECT stream_id, base_version FROM cm JOIN hd USING (stream_id) WHERE base_version < (head // 10) * 10", "cm", "hd")
+def sweep_garbage(spark, d):
+    e = V.commit_events(spark, d)
+    mark = replay.heads(e).select("stream_id", K.bucket_base(F.col("version"), 10).alias("watermark"))
+    return layout.garbage(layout.commit_table(e), mark).select("stream_id", "base_version")
+
+
+@query("SELECT n, CAST(sum((head + n) // n) AS BIGINT) AS chunk_gets, CAST(sum(head + 1) AS BIGINT) AS events FROM hd, (SELECT unnest([5, 20, 100, 500]) AS n) GROUP BY n", "hd")
+def replay_cost_by_n(spark, d):
+    """Chunk reads of a full replay for several chunk widths: ceil(events / n) for each stream."""
+    h = replay.heads(V.stream_events(spark, d)).select("version", F.explode(F.array(*map(F.lit, (5, 20, 100, 500)))).alias("n"))
+    return h.groupBy("n").agg(F.sum(F.expr("(version + n) div n")).alias("chunk_gets"), F.sum(F.col("version") + 1).alias("events"))
+
+
+@query("SELECT stream_id, version, id, type, data, base_version FROM ce", "ce")
+def json_commit_source(spark, d):
+    """Commit documents written as JSON text and read back: payloads stay verbatim."""
+    at = shared(spark, "commits")
+    documents.commit_documents(V.commit_events(spark, d)).select("body").write.text(at)
+    read = spark.read.schema(documents.COMMIT).json(at)
+    return documents._events(read).select("stream_id", "version", "id", "type", "data", "base_version")
+
+
+@query("SELECT r_name AS bucket, CASE WHEN r_regionkey IN (1, 2) THEN 'versioning' WHEN r_regionkey = 3 THEN 'replication' END AS fault FROM region")
+def key_bucket_config(spark, d):
+    r = V.table(spark, d, "region")
+    s = r.select(F.col("r_name").alias("bucket"), F.when(F.col("r_regionkey") == 1, "Enabled").when(F.col("r_regionkey") == 2, "Suspended").otherwise("Off").alias("versioning"), (F.col("r_regionkey") == 3).alias("replicated"), F.lit(False).alias("object_lock"))
+    return documents.key_bucket_faults(s)
+
+
+# -- feed ------------------------------------------------------------------------------------
+
+PAGES = "SELECT stream_id, (version // 20) * 20 AS page_from, count(*) AS n_events, any_value(head) AS head FROM se JOIN hd USING (stream_id) GROUP BY ALL"
+PAGES = PAGES.replace("GROUP BY ALL", "GROUP BY stream_id, (version // 20) * 20")
+SHAPE = "page_from + 20 AS page_to, coalesce(head, -1) >= page_from + 20 AS complete"
+
+
+@query(f"SELECT stream_id, page_from, n_events, {SHAPE}, CASE WHEN head >= page_from + 20 THEN page_from + 20 END AS next, CASE WHEN page_from > 0 THEN page_from - 20 END AS prev FROM ({PAGES})", "se", "hd")
+def feed_pages(spark, d):
+    return feed.pages(V.stream_events(spark, d), PAGE)
+
+
+@query(f"SELECT stream_id, page_from, n_events, {SHAPE}, CASE WHEN head >= page_from + 20 THEN '/feed/' || stream_id || '?from=' || (page_from + 20) END AS next, CASE WHEN page_from > 0 THEN '/feed/' || stream_id || '?from=' || (page_from - 20) END AS prev FROM ({PAGES})", "se", "hd")
+def wire_feed(spark, d):
+    return feed.wire(feed.pages(V.stream_events(spark, d), PAGE), "/feed")
+
+
+REQ = "SELECT o_orderkey, 'user-' || o_custkey AS stream_id, o_orderkey % 130 - 5 AS requested, CASE WHEN o_orderkey % 130 - 5 <= 0 THEN 0 ELSE ((o_orderkey % 130 - 5) // 20) * 20 END AS page_from FROM orders"
+
+
+def _requests(spark, d):
+    return V.table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("user-"), F.col("o_custkey").cast("string")).alias("stream_id"), (F.col("o_orderkey") % 130 - 5).alias("requested"))
+
+
+@query(f"SELECT r.o_orderkey, r.stream_id, requested, r.page_from, requested <> r.page_from AS redirect, coalesce(n_events, 0) AS n_events, r.page_from + 20 AS page_to, coalesce(hd.head, -1) >= r.page_from + 20 AS complete, CASE WHEN hd.head >= r.page_from + 20 THEN r.page_from + 20 END AS next, CASE WHEN r.page_from > 0 THEN r.page_from - 20 END AS prev FROM ({REQ}) r LEFT JOIN hd USING (stream_id) LEFT JOIN ({PAGES}) p ON p.stream_id = r.stream_id AND p.page_from = r.page_from", "se", "hd")
+def page_requests(spark, d):
+    return feed.page_requests(V.stream_events(spark, d), _requests(spark, d), PAGE)
+
+
+@query(f"SELECT o_orderkey, page_from FROM ({REQ}) WHERE requested <> page_from")
+def redirects(spark, d):
+    return feed.page_requests(V.stream_events(spark, d), _requests(spark, d), PAGE).where("redirect").select("o_orderkey", "page_from")
+
+
+@query("SELECT stream_id, (version // 20) * 20 AS page_from, string_agg(id, ',' ORDER BY version) AS ids FROM se GROUP BY ALL", "se")
+def wire_page_documents(spark, d):
+    """JSON page documents, parsed again."""
+    body = feed.page_documents(V.stream_events(spark, d), PAGE, "/feed", ["version", "id", "type", "data"])
+    e = F.from_json("body", "struct<events:array<struct<version:bigint,id:string>>>")
+    return body.select("stream_id", "page_from", F.array_join(F.transform(e["events"], lambda x: x["id"]), ",").alias("ids"))
+
+
+# -- admission -------------------------------------------------------------------------------
+
+
+@query("SELECT stream_id, arrival, attempt_id, ok, base FROM ad", "ad")
+def admission_outcomes(spark, d):
+    return admission.admit(V.attempts(spark, d))
+
+
+@query("SELECT stream_id, arrival, attempt_id, ok, base FROM ad", "ad")
+def admission_sorted_streams(spark, d):
+    return admission.admit(V.attempts(spark, d), fold_rows=0)
+
+
+@query("SELECT stream_id, arrival, attempt_id, ok, base FROM ad", "ad")
+def admission_streaming(spark, d):
+    """The same decisions made by Structured Streaming over the written attempts."""
+    from ..streaming.ingest import admit_stream
+
+    at = shared(spark, "attempts")
+    given = V.attempts(spark, d)
+    given.write.parquet(f"{at}/in")
+    stream = spark.readStream.schema(given.schema).parquet(f"{at}/in")
+    admit_stream(stream).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{at}/out")
+
+
+@query("SELECT stream_id, max(head) AS version FROM ad GROUP BY stream_id HAVING max(head) >= 0", "ad")
+def admission_heads(spark, d):
+    a = V.attempts(spark, d)
+    good = admission.admit(a).where("ok").join(a.select("attempt_id", "n_events"), "attempt_id")
+    return good.groupBy("stream_id").agg(F.max(F.col("base") + F.col("n_events") - 1).alias("version"))
+
+
+@query("SELECT attempt_id, CASE WHEN attempt_id % 11 = 0 THEN 'too many events' WHEN attempt_id % 13 = 0 THEN 'expected version' END AS invalid FROM att", "att")
+def append_validation(spark, d):
+    a = V.attempts(spark, d).withColumn("n_events", F.when(F.col("attempt_id") % 11 == 0, 21).otherwise(F.col("n_events")))
+    a = a.withColumn("expected_kind", F.when(F.col("attempt_id") % 13 == 0, "version").otherwise(F.col("expected_kind"))).withColumn("expected_version", F.when(F.col("attempt_id") % 13 == 0, -1).otherwise(F.col("expected_version")))
+    return admission.validated(a).select("attempt_id", "invalid")
+
+
+@query("SELECT stream_id, id, base + pos AS version, pos FROM (SELECT stream_id, attempt_id, base, unnest(range(1 + attempt_id % 3)) AS pos, attempt_id || '-' || pos AS id FROM ad WHERE ok)", "ad")
+def committed_events(spark, d):
+    a = V.attempts(spark, d)
+    pay = a.select("stream_id", "attempt_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_events") - 1)).alias("pos")).withColumns({"id": F.concat_ws("-", "attempt_id", "pos"), "type": F.lit("T"), "data": F.lit("1"), "ts": F.lit(None).cast("string")})
+    return admission.committed_events(admission.admit(a), pay, F.lit("2024-01-01T00:00:00Z")).select("stream_id", "id", "version", "pos")
+
+
+SQL["committed_events"] = sql("SELECT stream_id, attempt_id || '-' || pos AS id, base + pos AS version, pos FROM (SELECT stream_id, attempt_id, base, unnest(range(1 + attempt_id % 3)) AS pos FROM ad WHERE ok)", "ad")
+
+
+@query("SELECT base_version || '@' || stream_id AS attempt_id, bool_and(NOT (event_id % 7 = 0)) AS already_committed FROM ce GROUP BY stream_id, base_version", "ce")
+def idempotent_retry(spark, d):
+    """Every commit is tried again; events divisible by 7 come with another id."""
+    e = V.commit_events(spark, d)
+    again = e.select(F.concat_ws("@", "base_version", "stream_id").alias("attempt_id"), "stream_id", F.col("base_version").alias("base"), (F.col("version") - F.col("base_version")).alias("pos"), F.when(F.col("event_id") % 7 == 0, F.concat(F.lit("x"), "id")).otherwise(F.col("id")).alias("id"))
+    return admission.idempotent_retry(again, e)
+
+
+@query("SELECT base_version || '@' || stream_id AS attempt_id, min(version) > 9 AS already_committed FROM ce GROUP BY stream_id, base_version", "ce")
+def forward_scan_retry(spark, d):
+    e = V.commit_events(spark, d)
+    again = e.select(F.concat_ws("@", "base_version", "stream_id").alias("attempt_id"), "stream_id", F.lit(9).alias("client_version"), "id")
+    return admission.forward_scan_retry(again, e)
+
+
+@query("SELECT event_id FROM events WHERE event_id % 5 <> 0")
+def lost_response_dedup(spark, d):
+    e = V.stream_events(spark, d).select("event_id", F.col("id").alias("commit_id"))
+    return admission.without_known(e, e.where("event_id % 5 = 0")).select("event_id")
+
+
+# -- transforms ------------------------------------------------------------------------------
+
+
+@query("SELECT stream_id, version, CASE WHEN type = 'view' THEN 'viewed' ELSE type END AS type, CAST(json_extract_string(data, '$.k') AS BIGINT) + CASE WHEN type = 'view' THEN 1 ELSE 0 END AS k FROM se", "se")
+def upcast_events(spark, d):
+    def parse(x: DataFrame) -> DataFrame:
+        return x.withColumn("k", F.get_json_object("data", "$.k").cast("long"))
+
+    def rename(x: DataFrame) -> DataFrame:
+        old = F.col("type") == "view"
+        return x.withColumn("k", F.col("k") + old.cast("long")).withColumn("type", F.when(old, "viewed").otherwise(F.col("type")))
+
+    return transform.upcast(V.stream_events(spark, d), [parse, rename]).select("stream_id", "version", "type", "k")
+
+
+CENTS = F.round(F.col("value") * 100).cast("long")
+CENTS_SQL = "CAST(round(value * 100) AS BIGINT)"
+
+
+@query(f"SELECT stream_id, max(version) AS version, CAST(sum({CENTS_SQL}) AS BIGINT) AS cents FROM se GROUP BY stream_id", "se")
+def fold_sum(spark, d):
+    return transform.fold_by_aggregates(V.stream_events(spark, d), cents=F.sum(CENTS))
+
+
+@query(f"SELECT stream_id, max(version) AS version, CAST(sum({CENTS_SQL}) AS BIGINT) AS cents FROM se WHERE version >= 12 GROUP BY stream_id", "se")
+def fold_from_version(spark, d):
+    return transform.fold_by_aggregates(V.stream_events(spark, d), 12, cents=F.sum(CENTS))
+
+
+@query("SELECT stream_id, type, count(*) AS n FROM se GROUP BY ALL", "se")
+def fold_counts_by_type(spark, d):
+    return V.stream_events(spark, d).groupBy("stream_id", "type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT 1", "se")
+def fold_general(spark, d):
+    init = F.lit(7).cast("long")
+    return transform.fold_in_order(V.stream_events(spark, d), CENTS, init, lambda s, x: F.pmod(s * 31 + x, F.lit(1_000_003)))
+
+
+SQL["fold_general"] = sql("", "se").rstrip() + f", fg AS (SELECT stream_id, version, (7 * 31 + {CENTS_SQL}) % 1000003 AS state FROM se WHERE version = 0 UNION ALL SELECT s.stream_id, s.version, (f.state * 31 + {CENTS_SQL}) % 1000003 FROM fg f JOIN se s ON s.stream_id = f.stream_id AND s.version = f.version + 1) SELECT stream_id, max(version) AS version, arg_max(state, version) AS state FROM fg GROUP BY stream_id"
+
+
+# -- encryption ------------------------------------------------------------------------------
+
+
+def _stream_keys(log: DataFrame) -> DataFrame:
+    return log.select("stream_id").distinct().select("stream_id", K.generation_id(F.lit(0)).alias("key_id"), F.unhex(F.sha2("stream_id", 256)).alias("key"))
+
+
+@query("SELECT stream_id, version, 'ok' AS status, data FROM se", "se")
+def encrypt_roundtrip_payload(spark, d):
+    log = V.stream_events(spark, d).select(*EVENT)
+    keys = _stream_keys(log)
+    secret = crypto.encrypt_payloads(log, keys)
+    return crypto.decrypt_payloads(secret, keys).select("stream_id", "version", "status", "data")
+
+
+@query("SELECT stream_id, version, 'ok' AS status, data FROM se", "se")
+def encrypt_roundtrip_compressed(spark, d):
+    log = V.stream_events(spark, d).select(*EVENT)
+    keys = _stream_keys(log)
+    secret = crypto.encrypt_payloads(log, keys, compress=True)
+    return crypto.decrypt_payloads(secret, keys, compressed=True).select("stream_id", "version", "status", "data")
+
+
+def _field_keys(log: DataFrame) -> DataFrame:
+    """A key for each subject (there are as many as roles)."""
+    return log.select("subject").distinct().select("subject", F.unhex(F.sha2("subject", 256)).alias("key"))
+
+
+@query("SELECT stream_id, version, text FROM conv", "conv")
+def encrypt_roundtrip_field(spark, d):
+    log = V.conv_events(spark, d)
+    met = log.join(_field_keys(log), "subject")
+    secret = met.withColumn("field", crypto.encrypt_field(F.to_json(F.struct("text")), F.col("key"), F.lit("000000"), F.col("stream_id"), "text"))
+    return secret.select("stream_id", "version", F.get_json_object(crypto.decrypt_field(F.col("field"), F.col("key"), F.col("stream_id"), "text"), "$.text").alias("text"))
+
+
+@query("SELECT stream_id, version, CASE WHEN subject = 'user' THEN '{\"$shredded\":true}' ELSE text END AS text, subject = 'user' AS shredded FROM conv", "conv")
+def field_mask_shredded(spark, d):
+    log = V.conv_events(spark, d)
+    keys = _field_keys(log)
+    secret = log.join(keys, "subject").withColumn("field", crypto.encrypt_field(F.col("text"), F.col("key"), F.lit("000000"), F.col("stream_id"), "text")).drop("key")
+    met = secret.join(keys.where("subject <> 'user'"), "subject", "left")
+    text = crypto.decrypt_field(F.col("field"), F.col("key"), F.col("stream_id"), "text")
+    return met.select("stream_id", "version", text.alias("text"), F.col("key").isNull().alias("shredded"))
+
+
+@query("SELECT count(*) AS n, count(*) AS rejected FROM se", "se")
+def transplant_rejected(spark, d):
+    """A payload moved to another stream isn't accepted there."""
+    log = V.stream_events(spark, d).select(*EVENT)
+    keys = _stream_keys(log)
+    met = crypto.encrypt_payloads(log, keys).join(keys.select("stream_id", "key"), "stream_id")
+    foreign = crypto.decrypt(F.col("data"), F.col("key"), crypto.payload_aad(F.concat(F.lit("other-"), "stream_id"), F.col("key_id")))
+    return met.agg(F.count("*").alias("n"), F.count(F.when(foreign.isNull(), 1)).alias("rejected"))
+
+
+FLAGS = {"unannotated": "type = 'view'", "no_subject": "user_id % 13 = 0", "no_object": "event_id % 17 = 0", "newline_field": "event_id % 19 = 0", "reserved_shape": "event_id % 23 = 0", "subject_encrypted": "event_id % 29 = 0"}
+REASONS = dict(crypto.GATES)
+
+
+@query("SELECT event_id, CASE " + " ".join(f"WHEN {c} THEN '{REASONS[k]}'" for k, c in FLAGS.items()) + " END AS reason FROM se", "se")
+def serialization_gate(spark, d):
+    flagged = V.stream_events(spark, d).withColumns({k: F.expr(c) for k, c in FLAGS.items()})
+    return flagged.select("event_id", crypto.reject_reason(list(FLAGS)).alias("reason"))
+
+
+@query("SELECT CASE WHEN length(subject) % 3 = 0 THEN 'failed' WHEN generation % 2 = 1 THEN 'alreadyCurrent' ELSE 'rewrapped' END AS status, count(*) AS n FROM kg GROUP BY ALL", "kg")
+def rewrap_report(spark, d):
+    """Odd generations are under the new master already; some keys were moved from another path."""
+    g = V.key_generations(spark, d).withColumn("key_id", K.generation_id(F.col("generation")))
+    g = g.withColumns({"old_master": F.unhex(F.sha2(F.lit("old"), 256)), "new_master": F.unhex(F.sha2(F.lit("new"), 256))})
+    master = F.when(F.col("generation") % 2 == 1, F.col("new_master")).otherwise(F.col("old_master"))
+    path = F.when(F.length("subject") % 3 == 0, F.lit("elsewhere")).otherwise(F.col("subject"))
+    g = g.withColumn("wrapped", crypto.wrap(F.col("key"), master, path, F.col("key_id")))
+    return crypto.rewrap(g).groupBy("status").agg(F.count("*").alias("n"))
+
+
+# -- key store and shredding -----------------------------------------------------------------
+
+
+def _stones(spark, d):
+    return shred.tombstones(V.audit_events(spark, d))
+
+
+@query("SELECT subject, max(generation) AS generation, lpad(CAST(max(generation) AS VARCHAR), 6, '0') AS key_id FROM alive GROUP BY subject", "alive")
+def current_generation(spark, d):
+    return keystore.current_keys(V.key_generations(spark, d), _stones(spark, d))
+
+
+@query("SELECT h.stream_id AS subject, coalesce(string_agg(lpad(CAST(generation AS VARCHAR), 6, '0'), ',' ORDER BY generation), '') AS key_ids FROM hd h LEFT JOIN alive a ON a.subject = h.stream_id GROUP BY h.stream_id", "hd", "alive")
+def keyring(spark, d):
+    subjects = V.stream_events(spark, d).select(F.col("stream_id").alias("subject")).distinct()
+    return keystore.keyrings(V.key_generations(spark, d), _stones(spark, d), subjects).select("subject", F.array_join("key_ids", ",").alias("key_ids"))
+
+
+@query("SELECT h.stream_id AS subject, coalesce(max(generation) + 1, 0) AS generation FROM hd h LEFT JOIN kg ON kg.subject = h.stream_id GROUP BY h.stream_id", "hd", "kg")
+def rotate_keys(spark, d):
+    subjects = V.stream_events(spark, d).select(F.col("stream_id").alias("subject")).distinct()
+    return keystore.next_generation(V.key_generations(spark, d), subjects)
+
+
+WANTED = "(SELECT stream_id AS subject, version, version % 3 AS generation FROM se WHERE type = 'purchase')"
+
+
+@query(f"SELECT subject, version, generation FROM {WANTED} w WHERE NOT EXISTS (SELECT 1 FROM alive a WHERE a.subject = w.subject AND a.generation = w.generation)", "se", "alive")
+def undeliverable_keys(spark, d):
+    wanted = V.stream_events(spark, d).where("type = 'purchase'").select(F.col("stream_id").alias("subject"), "version", (F.col("version") % 3).alias("generation"))
+    return keystore.undeliverable(wanted, V.key_generations(spark, d), _stones(spark, d)).select("subject", "version", "generation")
+
+
+@query("SELECT k.subject, k.generation, coalesce(t.status NOT IN ('pending', 'committing'), true) AS deliverable FROM kg k LEFT JOIN tomb t USING (subject)", "kg", "tomb")
+def key_lookup(spark, d):
+    g = V.key_generations(spark, d)
+    return keystore.lookup(g.select("subject", "generation"), g, _stones(spark, d)).select("subject", "generation", F.col("key").isNotNull().alias("deliverable"))
+
+
+@query("SELECT subject, position FROM oi", "oi")
+def open_intents(spark, d):
+    return shred.open_intents(V.audit_events(spark, d)).select("subject", "position")
+
+
+@query("SELECT subject, max(position) AS position FROM oi GROUP BY subject", "oi")
+def newest_intent(spark, d):
+    return shred.newest_intents(shred.open_intents(V.audit_events(spark, d))).select("subject", "position")
+
+
+@query("SELECT subject, position, ts + INTERVAL 14 DAY <= TIMESTAMP '2024-01-20 00:00:00' AS due FROM (SELECT subject, max(position) AS position, arg_max(ts, position) AS ts FROM oi GROUP BY subject)", "oi")
+def sweep_due(spark, d):
+    newest = shred.newest_intents(shred.open_intents(V.audit_events(spark, d)))
+    return shred.sweep(newest, F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"), "14 DAY").select("subject", "position", "due")
+
+
+@query("SELECT subject, arg_max(status, n) AS status, max(intent) FILTER (n = top) AS intent, max(since) FILTER (n = top) AS requested_at FROM (SELECT *, max(n) OVER (PARTITION BY subject) AS top FROM ts0) GROUP BY subject", "ts0")
+def tombstone_state(spark, d):
+    return _stones(spark, d)
+
+
+@query("SELECT subject, position, outcome FROM ts0 WHERE outcome IS NOT NULL", "ts0")
+def cancel_outcomes(spark, d):
+    return shred.cancel_outcomes(V.audit_events(spark, d))
+
+
+@query(
+    "SELECT subject, stamp AS intent FROM (SELECT subject, max(position) FILTER (type = 'ShredRequested') AS stamp, min(position) FILTER (type = 'ShredRequested') AS low, max(position) FILTER (type = 'ShredCompleted') AS done FROM au GROUP BY subject) s WHERE stamp IS NOT NULL AND (done IS NULL OR done < low) AND EXISTS (SELECT 1 FROM au c WHERE c.type = 'ShredCancelled' AND c.subject = s.subject AND c.intent = stamp AND c.position > stamp) AND NOT EXISTS (SELECT 1 FROM oi WHERE oi.subject = s.subject)",
+    "au", "oi",
+)
+def reconcile_cancellations(spark, d):
+    """As if every cancellation had crashed between its audit entry and the tombstone."""
+    audit = V.audit_events(spark, d)
+    return shred.reconcile(shred.tombstones(audit.where("type <> 'ShredCancelled'")), audit)
+
+
+@query("SELECT subject, position, type, row_number() OVER (PARTITION BY subject ORDER BY position) AS n FROM au", "au")
+def audit_timeline(spark, d):
+    return shred.timeline(V.audit_events(spark, d)).select("subject", "position", "type", "n")
+
+
+# -- integrity -------------------------------------------------------------------------------
+
+
+@query("SELECT stream_id, count(*) AS n, min(version) = 0 AND max(version) + 1 = count(*) AND count(DISTINCT version) = count(*) AS dense FROM (SELECT stream_id, version FROM se WHERE event_id % 97 <> 0) GROUP BY stream_id", "se")
+def density_check(spark, d):
+    """With some events taken away, so that there is something to find."""
+    return integrity.density(V.stream_events(spark, d).where("event_id % 97 <> 0"))
+
+
+@query("SELECT * FROM (SELECT stream_id, CAST(event_id - event_id % 2 * (event_id % 3) AS VARCHAR) AS id, count(*) AS n FROM se GROUP BY ALL) WHERE n > 1", "se")
+def duplicate_ids(spark, d):
+    log = V.stream_events(spark, d).withColumn("id", (F.col("event_id") - F.col("event_id") % 2 * (F.col("event_id") % 3)).cast("string"))
+    return integrity.duplicate_ids(log)
+
+
+OUTCOME = "CASE base_version % 3 WHEN 0 THEN 'committed' WHEN 1 THEN 'rejected' ELSE 'indefinite' END"
+THERE = "(base_version % 3 = 0 AND event_id % 41 <> 0) OR (base_version % 3 = 1 AND event_id % 43 = 0) OR (base_version % 3 = 2 AND event_id % 5 <> 0)"
+
+
+@query(
+    f"SELECT attempt_id, outcome, CASE WHEN outcome = 'committed' AND there < n THEN 'missing' WHEN outcome = 'rejected' AND there > 0 THEN 'phantom' WHEN outcome = 'indefinite' AND there > 0 AND there < n THEN 'torn' ELSE 'ok' END AS verdict FROM (SELECT base_version || '@' || stream_id AS attempt_id, {OUTCOME} AS outcome, count(*) AS n, count(*) FILTER ({THERE}) AS there FROM ce GROUP BY stream_id, base_version)",
+    "ce",
+)
+def outcome_check(spark, d):
+    e = V.commit_events(spark, d)
+    tried = e.select(F.concat_ws("@", "base_version", "stream_id").alias("attempt_id"), "stream_id", "id", F.expr(OUTCOME).alias("outcome"))
+    return integrity.outcomes(tried, e.where(THERE))
+
+
+@query("SELECT stream_id, version, id FROM se WHERE event_id % 50 = 0", "se")
+def unknown_ids(spark, d):
+    e = V.stream_events(spark, d)
+    return integrity.unknown_ids(e, e.where("event_id % 50 <> 0")).select("stream_id", "version", "id")
+
+
+@query(
+    "SELECT h.stream_id, 40 AS at, h.head - 3 * (length(h.stream_id) % 2) AS head, max(last_version) FILTER (base_version <= 40) AS least, max(last_version) AS most, h.head - 3 * (length(h.stream_id) % 2) BETWEEN max(last_version) FILTER (base_version <= 40) AND max(last_version) AS honest FROM hd h JOIN cm USING (stream_id) GROUP BY h.stream_id, h.head",
+    "hd", "cm",
+)
+def forged_head_bounds(spark, d):
+    e = V.commit_events(spark, d)
+    commits = layout.commit_table(e).select("stream_id", F.col("base_version").alias("done_at"), F.col("last_version").alias("last"), F.col("commit_size").alias("size"), F.lit("committed").alias("outcome"))
+    reads = replay.heads(e).select("stream_id", F.lit(40).alias("at"), (F.col("version") - 3 * (F.length("stream_id") % 2)).alias("head"))
+    return integrity.head_bounds(reads, commits)
+
+
+@query("SELECT stream_id, version FROM se WHERE event_id % 61 = 0", "se")
+def storage_invariant(spark, d):
+    e = V.stream_events(spark, d).select("stream_id", "version", "event_id")
+    return integrity.storage_loss(e, e.where("event_id % 61 <> 0")).select("stream_id", "version")
+
+
+@query("SELECT stream_id, version, id FROM se", "se")
+def manifest_append_read(spark, d):
+    """Attempts admitted, written, published by a create-only entry and read from the snapshot."""
+    from ..sources.manifest import Log
+
+    log = Log(spark, shared(spark, "log"))
+    e = V.stream_events(spark, d).select("stream_id", "version", "id")
+    given = e.select("stream_id", F.col("version").alias("arrival"), F.col("id").cast("long").alias("attempt_id"), F.lit("any").alias("expected_kind"), F.lit(None).cast("long").alias("expected_version"), F.lit(1).alias("n_events"))
+
+    def build(decided: DataFrame) -> DataFrame:
+        return decided.where("ok").select("stream_id", F.col("base").alias("version"), F.col("attempt_id").cast("string").alias("id"))
+
+    schema = "stream_id string, version long, id string"
+    log.append(given, build, schema)
+    return log.read(schema)
+
+
+def queries() -> dict[str, Query]:
+    return dict(FOUND)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
