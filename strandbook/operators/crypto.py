@@ -13,6 +13,7 @@ import zlib
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType
 
 #: fixed values: header bytes and the shape of a field whose key is gone
 RAW, COMPRESSED = "00", "01"
@@ -27,12 +28,12 @@ def field_aad(stream_id: Column, key_id: Column, field: str) -> Column:
     return F.concat(payload_aad(stream_id, key_id), F.lit("\n" + field))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def _gzip(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else gzip.compress(t.encode("utf-8"), mtime=0))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _gunzip(data: pd.Series) -> pd.Series:
     return data.map(lambda d: None if d is None else zlib.decompress(bytes(d), 31).decode("utf-8"))
 

@@ -365,18 +365,18 @@ def upcast_events(spark, d):
     return transform.upcast(V.stream_events(spark, d), [parse, rename]).select("stream_id", "version", "type", "k")
 
 
-CENTS = F.round(F.col("value") * 100).cast("long")
+CENTS = "cast(round(value * 100) as bigint)"
 CENTS_SQL = "CAST(round(value * 100) AS BIGINT)"
 
 
 @query(f"SELECT stream_id, max(version) AS version, CAST(sum({CENTS_SQL}) AS BIGINT) AS cents FROM se GROUP BY stream_id", "se")
 def fold_sum(spark, d):
-    return transform.fold_by_aggregates(V.stream_events(spark, d), cents=F.sum(CENTS))
+    return transform.fold_by_aggregates(V.stream_events(spark, d), cents=F.sum(F.expr(CENTS)))
 
 
 @query(f"SELECT stream_id, max(version) AS version, CAST(sum({CENTS_SQL}) AS BIGINT) AS cents FROM se WHERE version >= 12 GROUP BY stream_id", "se")
 def fold_from_version(spark, d):
-    return transform.fold_by_aggregates(V.stream_events(spark, d), 12, cents=F.sum(CENTS))
+    return transform.fold_by_aggregates(V.stream_events(spark, d), 12, cents=F.sum(F.expr(CENTS)))
 
 
 @query("SELECT stream_id, type, count(*) AS n FROM se GROUP BY ALL", "se")
@@ -387,7 +387,7 @@ def fold_counts_by_type(spark, d):
 @query("SELECT 1", "se")
 def fold_general(spark, d):
     init = F.lit(7).cast("long")
-    return transform.fold_in_order(V.stream_events(spark, d), CENTS, init, lambda s, x: F.pmod(s * 31 + x, F.lit(1_000_003)))
+    return transform.fold_in_order(V.stream_events(spark, d), F.expr(CENTS), init, lambda s, x: F.pmod(s * 31 + x, F.lit(1_000_003)))
 
 
 SQL["fold_general"] = sql("", "se").rstrip() + f", fg AS (SELECT stream_id, version, (7 * 31 + {CENTS_SQL}) % 1000003 AS state FROM se WHERE version = 0 UNION ALL SELECT s.stream_id, s.version, (f.state * 31 + {CENTS_SQL}) % 1000003 FROM fg f JOIN se s ON s.stream_id = f.stream_id AND s.version = f.version + 1) SELECT stream_id, max(version) AS version, arg_max(state, version) AS state FROM fg GROUP BY stream_id"
