@@ -24,7 +24,6 @@ row before they are shuffled, so frequent copies don't gather in one task.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, shared_dir, table
+from .common import cut, table
 
 LENGTH = 400
 ANCHOR, SPAN = 128, 256  # q-grams and starts of the first anchors; together below LENGTH
@@ -183,7 +182,8 @@ NAMES = [c.split()[0] for c in RUN.split(", ")]
 
 def _runs(bits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows with a bucket are runs to be compared; rows without are stretches known to repeat."""
+        """Rows with an extent are runs to be compared; rows without are stretches known to repeat,
+        and their bucket only spreads them."""
         seen = bits.value
         for doc, digest, texts in slices(batches):
             part = Slice(texts)
@@ -210,8 +210,8 @@ def _runs(bits):
                 tail = np.append(head[1:], len(i)) - 1
                 h = i[head]
                 nothing = pa.nulls(len(h))
-                columns = [doc_of[h], digest_of[h], (begin[head] - base[h]).astype(np.int32), (stop[tail] - base[h]).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), nothing.cast(pa.int64()), nothing.cast(pa.int64()), nothing.cast(pa.bool_()), nothing.cast(pa.binary()), nothing.cast(pa.binary())], names=NAMES)
+                columns = [doc_of[h], digest_of[h], (begin[head] - base[h]).astype(np.int32), (stop[tail] - base[h]).astype(np.int32), bucket[h].view(np.int64)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), nothing.cast(pa.int64()), nothing.cast(pa.bool_()), nothing.cast(pa.binary()), nothing.cast(pa.binary())], names=NAMES)
             # one row for each extent goes on
             k = np.sort(first)
             raw = part.x.tobytes()
@@ -255,6 +255,9 @@ def _refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[5] is None:
+                out.append((*row[:4], None, None))
+                continue
             if held is not None and row[4] == held[4]:
                 if row[5] == held[5]:
                     twice = True
@@ -325,17 +328,11 @@ def repeated(texts: DataFrame) -> DataFrame:
     # at most 2**(BITS-15) rows of 4 KB
     for row in blocks.mapInArrow(_bytes_of, "block long, bytes binary").toLocalIterator():
         seen[row["block"] << 12 : (row["block"] + 1) << 12] = np.frombuffer(row["bytes"], dtype=np.uint8)
-    folder = f"{shared_dir(spark)}/runs-{uuid.uuid4().hex}"
-    texts.mapInArrow(_runs(spark.sparkContext.broadcast(seen)), RUN).write.option("compression", "zstd").parquet(folder)
-    runs = spark.read.schema(RUN).parquet(folder)
+    runs = texts.mapInArrow(_runs(spark.sparkContext.broadcast(seen)), RUN)
     stretch = ["doc", "digest", "first", "last"]
-    compared = runs.where("bucket IS NOT NULL").repartition("bucket").sortWithinPartitions("bucket", "extent").mapInArrow(_refine, FOUND)
-    compared = cut(compared)
+    compared = cut(runs.repartition("bucket").sortWithinPartitions("bucket", "extent").mapInArrow(_refine, FOUND))
     windows = compared.where("window IS NOT NULL").repartition("window").sortWithinPartitions("window").mapInArrow(_windows, FOUND)
-    found = cut(runs.where("bucket IS NULL").select(*stretch).unionByName(compared.where("window IS NULL").select(*stretch)).unionByName(windows.select(*stretch)))
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    return found
+    return compared.where("window IS NULL").select(*stretch).unionByName(windows.select(*stretch))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
