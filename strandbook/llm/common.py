@@ -36,5 +36,15 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def few_ids(ids: DataFrame, bound: int) -> DataFrame:
+    """At most ``bound`` of the distinct values of ``ids`` (doc_id), evenly drawn by their hashes.
+
+    The hashes below a limit that lets about twice the bound through are the only ones sorted, so
+    no task sees more of them as the table grows."""
+    key = F.shiftrightunsigned(F.xxhash64("doc_id"), 1)
+    share = min(1.0, 2 * bound / max(1, ids.count()))
+    return ids.where(key <= (int(share * (1 << 53)) << 10) - 1).distinct().orderBy(key, "doc_id").limit(bound)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

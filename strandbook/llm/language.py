@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytecnn import ByteCNN, softmax
-from .common import held_out, table
+from .common import few_ids, held_out, table
 
 WINDOW = 256
 SAMPLE_DOCS = 2_000  # bound of the labelled rows that the classifier learns from
@@ -65,10 +65,13 @@ def train(samples: list[tuple[str, list[bytes]]], seed: int = 0) -> tuple[ByteCN
 
 
 def fit(docs: DataFrame) -> tuple[ByteCNN, list[str]] | None:
-    """Learns from text and lang of at most SAMPLE_DOCS documents that are not held out."""
+    """Learns from text and lang of at most SAMPLE_DOCS documents that are not held out.
+
+    A repeated doc_id is learned once, with the least of its languages and texts."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    few = known.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
-    sample = known.join(F.broadcast(few.distinct()), "doc_id", "left_semi").select("doc_id", "lang", F.encode("text", "UTF-8").alias("bytes"))
+    few = few_ids(known.select("doc_id"), SAMPLE_DOCS)
+    each = known.join(F.broadcast(few), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("least"))
+    sample = each.select("doc_id", "least.lang", F.encode("least.text", "UTF-8").alias("bytes"))
     step = F.greatest(F.length("bytes") - WINDOW, F.lit(0)) / F.lit(max(1, SAMPLE_WINDOWS - 1))
     picked = [F.substring("bytes", (F.lit(1) + F.floor(step * i)).cast("int"), F.lit(WINDOW)) for i in range(SAMPLE_WINDOWS)]
     rows = sample.select("doc_id", "lang", F.array_distinct(F.array(*picked)).alias("windows")).collect()

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytecnn import ByteCNN
-from .common import held_out, table
+from .common import few_ids, held_out, table
 
 CHUNK, OVERLAP = 512, 64
 THRESHOLD = 0.7
@@ -69,10 +69,13 @@ def train(samples: list[tuple[int, np.ndarray]], seed: int = 0) -> ByteCNN:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> ByteCNN | None:
-    """Learns labels.quality from the texts of at most SAMPLE_DOCS documents that are not held out."""
-    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    few = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
-    texts = docs.select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("bytes")).join(F.broadcast(few), "doc_id")
+    """Learns labels.quality from the texts of at most SAMPLE_DOCS documents that are not held out.
+
+    A repeated doc_id is learned once, with the greatest of its labels and the least of its texts."""
+    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    few = known.join(F.broadcast(few_ids(known.select("doc_id"), SAMPLE_DOCS)), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    least = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(few), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    texts = least.select("doc_id", "quality", F.encode("text", "UTF-8").alias("bytes"))
     step = F.greatest(F.length("bytes") - CHUNK, F.lit(0)) / F.lit(SAMPLE_CHUNKS - 1)
     picked = [F.substring("bytes", (F.lit(1) + F.floor(step * i)).cast("int"), F.lit(CHUNK)) for i in range(SAMPLE_CHUNKS)]
     rows = texts.select("doc_id", "quality", F.array_distinct(F.array(*picked)).alias("chunks")).collect()
