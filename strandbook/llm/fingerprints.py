@@ -174,7 +174,7 @@ def fingerprints(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     before = F.pmod(span - 1, F.lit(len(starts)))
     dealt = texts.withColumn("to", F.when(begins, F.array(F.struct(span.alias("span"), F.lit(False).alias("ahead")), F.struct(before.alias("span"), F.lit(True).alias("ahead")))).otherwise(F.array(F.struct(span.alias("span"), F.lit(False).alias("ahead")))))
     dealt = dealt.select(F.explode("to").alias("to"), "doc_id", "text").select("to.span", "to.ahead", "doc_id", "text")
-    ordered = dealt.repartition(n, "span").sortWithinPartitions("span", "ahead", "doc_id", "text")
+    ordered = dealt.repartitionByRange(n, "span").sortWithinPartitions("span", "ahead", "doc_id", "text")
     return ordered.mapInArrow(_rows, OUT)
 
 
