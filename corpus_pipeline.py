@@ -30,13 +30,13 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents in the order of the mix."""
-    return mixing.in_order(mixing.mix(docs), docs.columns)
+    """The documents in the order of the mix, with their place in it."""
+    return mixing.in_order(mixing.mix(docs), [*[c for c in docs.columns if c != "position"], "position"])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents and their places in training sequences."""
-    return packing.pack(docs)
+    """Pieces of the documents and their places in training sequences, which follow the mix."""
+    return packing.pack_in_order(docs)
 
 
 STAGES = [

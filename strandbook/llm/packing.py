@@ -10,6 +10,10 @@ the largest first, each with the largest other that still fits.  Smaller pieces
 length, each into the bin with the smallest gap that holds it.  Bins of the same content are one
 row with a count.  The pieces then find their places by their rank among the pieces of their
 length, which is counted within partitions of the written pieces and by sums over partitions.
+
+Documents that come in an order (a column ``position``, as of a mix) are packed in consecutive ranges
+of it, each range by a plan of its own, and the sequences are numbered range by range: the order of
+the mix is then the order of the sequences, to within a range.
 """
 
 from __future__ import annotations
@@ -31,6 +35,7 @@ from .tokens import Encoder, vocabulary
 
 CAPACITY = 2048
 END_ID = 0
+RANGE_ROWS = 4096  # places of the mix that are packed together
 
 
 def plan_bins(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[int]]]:
@@ -186,5 +191,50 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "at.sequence_id", "at.offset")
 
 
+def _pieces_in_order(path: str, capacity: int, end_id: int, range_rows: int):
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder.of(path)
+        for batch in batches:
+            rows = []
+            for doc_id, position, ids in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), encoder.encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
+                ids = np.append(ids, np.uint32(end_id)).astype("<u4")
+                for n, start in enumerate(range(0, len(ids), capacity)):
+                    piece = ids[start : start + capacity]
+                    rows.append((doc_id, n, start, len(piece), zlib.crc32(piece.tobytes()), position, position // range_rows))
+            columns = list(zip(*rows, strict=True)) or [[]] * 7
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "position", "range"])
+
+    return cut_up
+
+
+def _pack_range(capacity: int):
+    def fill(pieces: pd.DataFrame) -> pd.DataFrame:
+        """Bins of one range, numbered by the least position in them."""
+        pieces = pieces.sort_values(["position", "piece"], ignore_index=True)
+        lengths, counts = np.unique(pieces["length"].to_numpy(), return_counts=True)
+        rank = pieces.groupby("length").cumcount().to_numpy()
+        bins, offset = Places(plan_bins(dict(zip(lengths.tolist(), counts.tolist(), strict=True)), capacity)).find(pieces["length"].to_numpy(), rank)
+        return pieces.assign(bin=pd.factorize(bins)[0].astype(np.int64), offset=offset)
+
+    return fill
+
+
+def pack_in_order(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, range_rows: int | None = None) -> DataFrame:
+    """``docs`` (doc_id, text, position) -> the columns of ``pack``, sequences in the order of position.
+
+    The documents of every ``range_rows`` consecutive positions fill sequences of their own, so those of
+    the first ranges are exactly the documents of the first positions; within a range sequences go by
+    the least position in them.  Positions are not null and not negative."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("position").cast("long").alias("position"))
+    light = "doc_id long, piece int, start long, length long, ids_crc32 long, position long, range long"
+    pieces = texts.mapInArrow(_pieces_in_order(tokenizer or vocabulary(), capacity, end_id, range_rows or RANGE_ROWS), light)
+    placed = cut(pieces.groupBy("range").applyInPandas(_pack_range(capacity), light + ", bin long, offset long"))
+    # one row for each range
+    ahead = W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    first = placed.groupBy("range").agg((F.max("bin") + 1).alias("bins")).select("range", F.coalesce(F.sum("bins").over(ahead), F.lit(0)).alias("first"))
+    return placed.join(F.broadcast(first), "range").select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("bin")).alias("sequence_id"), "offset")
+
+
 def op6_large_item_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))

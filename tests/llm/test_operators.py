@@ -216,3 +216,34 @@ def test_pipeline(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     kept = {r.doc_id for r in neardup.near_classes(docs).where("doc_id = class_id").collect()}
     assert ids and ids <= {r.doc_id for r in docs.select("doc_id").collect()} and len(ids) >= 0.9 * len(kept)
+
+
+def test_sequences_follow_the_mix(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    size = 256
+    monkeypatch.setattr(packing, "RANGE_ROWS", size, raising=False)
+    rng = random.Random(5)
+    # the hot source has the long documents, so an order by length would tell the sources apart
+    rows = [(i, " ".join(["word"] * rng.randint(*((1000, 3000) if i % 4 else (1, 40)))), "hot" if i % 4 else f"s{i % 12}") for i in range(4000)]
+    corpus_pipeline.mix_sources(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), "").write.parquet(str(tmp_path / "mixed"))
+    out = corpus_pipeline.pack_sequences(spark, spark.read.parquet(str(tmp_path / "mixed")), "").collect()
+    mixed = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).select("doc_id", "source", "position", "lane_weight").collect()
+    place = {r.doc_id: r.position for r in mixed}
+    source, target = {r.doc_id: r.source for r in mixed}, {r.source: r.lane_weight for r in mixed}
+    assert {r.doc_id for r in out} == set(place) and len(out) > len(place)
+    ends = {}
+    for r in sorted(out, key=lambda r: r.sequence_id):
+        ends.setdefault(place[r.doc_id] // size, []).append(r.sequence_id)
+    spans = [(min(v), max(v)) for _, v in sorted(ends.items())]
+    assert all(a[1] + 1 == b[0] for a, b in zip(spans, spans[1:], strict=False)) and spans[0][0] == 0
+    for n, (_, last) in enumerate(spans[:5]):  # all sources still last
+        count = Counter(source[i] for i in {r.doc_id for r in out if r.sequence_id <= last})
+        for s, w in target.items():
+            assert abs(count[s] - w * (n + 1) * size) <= 2 * mixing.BLOCK_ROWS
+    assert sorted({r.sequence_id for r in out}) == list(range(spans[-1][1] + 1))
+    filled = Counter()
+    for r in out:
+        filled[r.sequence_id] += r.length
+    assert max(filled.values()) <= packing.CAPACITY
+    assert packing.pack_in_order(spark.createDataFrame([], "doc_id long, text string, position long")).count() == 0
