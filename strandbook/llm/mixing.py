@@ -1,30 +1,37 @@
 """Mixing sources to target weights by Pfair scheduling, with DataFrame operations only.
 
-Each source is a lane of blocks of ``block_rows`` documents.  A target weight of ``a`` in ``period``
-slots gives block i of a lane the release time floor(i*period/a) and the deadline
-ceil((i+1)*period/a); one block is placed in each slot, always the released block with the earliest
-deadline.  In every prefix of the schedule each lane is then less than one block away from its
-weight times the length of the prefix.
-
-Weights are held as whole numbers of slots in a period, so the order repeats with the period and
-only one period of it is worked out, whatever the number of documents.  When lanes run out, a new
-phase with the weights of the remaining lanes begins; no document is dropped or repeated.
+Each source is a lane of blocks of ``block_rows`` documents.  A target weight of w gives block i of a
+lane the release time floor(i/w) and the deadline ceil((i+1)/w); one block is placed in each slot,
+always the released block with the earliest deadline.  In every prefix of the schedule each lane is
+then less than one block away from its weight times the length of the prefix.
+
+Weights are taken as exact fractions over all blocks, not as slots of a period.  When lanes run out,
+the remaining ones share the slots by their weights, and what they are ahead or behind is carried
+on; no document is dropped or repeated.  The order of the blocks is one serial pass in the driver
+over (lane, block) numbers, one for every ``block_rows`` documents, with a state of one entry for each
+lane; all else is done on DataFrames.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+import uuid
+from bisect import bisect_left
+from collections.abc import Iterator
+from fractions import Fraction
+from itertools import accumulate, islice
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import shared_dir, table
 
 BLOCK_ROWS = 8
 FLATTEN = 0.7  # default target: share of the corpus to this power, which lifts small sources
-PERIOD = 1024
+CHUNK_SLOTS = 250_000  # slots of the schedule that the driver holds
 MAX_LANES = 256
 RANK_ROWS = 50_000  # rows that are ranked together
 
@@ -57,24 +64,68 @@ def whole_shares(weights: dict[int, float], period: int) -> dict[int, int]:
     return shares
 
 
-def phases_of(blocks: dict[int, int], weights: dict[int, float], period: int) -> list[tuple[dict[int, int], int]]:
-    """(blocks of each lane in a period, number of periods) until every lane is used up."""
-    left, found = {k: n for k, n in blocks.items() if n}, []
-    while left:
-        shares = whole_shares({k: weights[k] for k in left}, period)
-        times = min(n // shares[k] for k, n in left.items())
-        if times == 0:  # the last part of a period for the lane that ends first
-            short = min(left, key=lambda k: (left[k] / shares[k], k))
-            part = left[short] / shares[short]
-            shares = {k: min(n, left[short] if k == short else round(shares[k] * part)) for k, n in left.items()}
-            shares, times = {k: n for k, n in shares.items() if n}, 1
-        found.append((shares, times))
-        left = {k: rest for k, n in left.items() if (rest := n - times * shares.get(k, 0))}
-    return found
-
-
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = BLOCK_ROWS, period: int = PERIOD, flatten: float = FLATTEN) -> DataFrame:
-    """Adds lane_weight, block, release, deadline, slot and position to every row of ``docs``.
+def whole_weights(weights: dict[int, float]) -> dict[int, int]:
+    """The weights as whole numbers in exactly their ratios: a float is a whole number over a power of two."""
+    bad = {lane: w for lane, w in weights.items() if not (math.isfinite(w) and w > 0)}
+    if bad:
+        raise ValueError(f"weights must be finite and above 0: {sorted(bad.values())[:5]}")
+    parts = {lane: float(w).as_integer_ratio() for lane, w in weights.items()}
+    over = max(d for _, d in parts.values())
+    return {lane: n * (over // d) for lane, (n, d) in parts.items()}
+
+
+def schedule(blocks: dict[int, int], weights: dict[int, int]) -> Iterator[tuple[int, int, int, int, int]]:
+    """(lane, block, release, deadline, slot) in the order of slots.
+
+    In the fluid mix every lane advances at its weight over the weights of the lanes not used up.
+    At virtual time v a lane has had min(n, a*v) of its n blocks, and the slots gone are the sum t(v)
+    of that over the lanes.  Block i of a lane is due from floor(t(i/a)) to ceil(t((i+1)/a)); the
+    fluid mix itself fits all of them, so earliest deadline first does."""
+    lanes = sorted((lane for lane, n in blocks.items() if n), key=lambda k: Fraction(blocks[k], weights[k]))
+    ends = [(blocks[k], weights[k]) for k in lanes]  # virtual times n/a at which lanes are used up
+    gone = [0, *accumulate(n for n, _ in ends)]
+    rate = [0, *accumulate(a for _, a in reversed(ends))][::-1]
+
+    def passed(i: int, a: int, at: int) -> int:
+        """How many lanes are used up at i/a, known to be ``at`` or more."""
+        step = 1
+        while at + step <= len(ends) and ends[at + step - 1][0] * a <= i * ends[at + step - 1][1]:
+            at, step = at + step, step * 2
+        return bisect_left(ends, True, at, min(at + step, len(ends)), key=lambda e: e[0] * a > i * e[1])
+
+    def block(lane: int, i: int, at: int) -> tuple[int, int, int, int, int]:
+        a = weights[lane]
+        at = passed(i, a, at)
+        release = gone[at] + i * rate[at] // a
+        at = passed(i + 1, a, at)
+        return release, gone[at] - (-(i + 1) * rate[at] // a), lane, i, at
+
+    waiting = [block(lane, 0, 0) for lane in lanes]
+    heapq.heapify(waiting)
+    ready: list[tuple[int, int, int, int, int]] = []
+    for slot in range(gone[-1]):
+        while waiting and waiting[0][0] <= slot:
+            release, deadline, lane, i, at = heapq.heappop(waiting)
+            heapq.heappush(ready, (deadline, lane, i, release, at))
+        deadline, lane, i, release, at = heapq.heappop(ready)
+        yield lane, i, release, deadline, slot
+        if i + 1 < blocks[lane]:
+            heapq.heappush(waiting, block(lane, i + 1, at))
+
+
+def written(spark: SparkSession, rows: Iterator[tuple[int, int, int, int, int]]) -> DataFrame:
+    """The schedule as a table in the shared folder, written in parts of bounded size."""
+    at = f"{shared_dir(spark)}/mix-{uuid.uuid4().hex}"
+    names = ["lane", "block", "release", "deadline", "slot"]
+    while part := list(islice(rows, CHUNK_SLOTS)):
+        chunk = pa.table([pa.array(c, pa.int64()) for c in zip(*part, strict=True)], names=names)
+        spark.createDataFrame(chunk).write.mode("append").parquet(at)
+    return spark.read.parquet(at)
+
+
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = BLOCK_ROWS, flatten: float = FLATTEN) -> DataFrame:
+    """Adds lane_weight (the target's share of all targets), block, release, deadline, slot and position
+    to every row of ``docs``.
 
     ``position`` is the place in the mix (blocks of fewer rows at a lane's end leave gaps).  A lane's
     documents come in a fixed pseudo-random order of doc_id; equal ids are in any order.  Sources
@@ -99,44 +150,30 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: in
         target = {i: (n / total["n"]) ** flatten for i, n in rows.items()}
     else:
         target = {i: float(weights.get("" if s is None else s[1:], min(weights.values()))) for i, s in names.items()}
-    period = max(period, 4 * len(rows))
-    blocks = {i: -(-n // block_rows) for i, n in rows.items()}
-
-    spans, slots, first_slot, first = [], [], 0, dict.fromkeys(rows, 0)
-    share = whole_shares(target, period)
-    for number, (shares, times) in enumerate(phases_of(blocks, target, period)):
-        length = sum(shares.values())
-        for lane, places in one_period(shares).items():
-            spans.append((lane, number, first[lane], first[lane] + times * shares[lane], shares[lane], first_slot, length))
-            slots.extend((lane, number, i, s) for i, s in enumerate(places))
-            first[lane] += times * shares[lane]
-        first_slot += times * length
-    # at most MAX_LANES lanes and two phases for each, so these tables have a fixed bound
-    lanes = spark.createDataFrame([(s, i, share[i] / period) for i, s in names.items() if s is not None], "name string, lane int, lane_weight double")
-    spans = spark.createDataFrame(spans, "lane int, phase int, first long, last long, share long, first_slot long, length long")
-    slots = spark.createDataFrame(slots, "lane int, phase int, j long, in_period long")
+    share = whole_weights(target)
+    whole = sum(share.values())
+    slots = written(spark, schedule({i: -(-n // block_rows) for i, n in rows.items()}, share))
+    lanes = spark.createDataFrame([(s, i, share[i] / whole) for i, s in names.items() if s is not None], "name string, lane long, lane_weight double")
 
     salts = max(1, math.ceil(total["n"] / RANK_ROWS))
     keyed = docs.withColumn("name", name).join(F.broadcast(lanes), "name", "left").drop("name")
     if total["k"] > rest:
-        keyed = keyed.fillna({"lane": rest, "lane_weight": share[rest] / period})
+        keyed = keyed.fillna({"lane": rest, "lane_weight": share[rest] / whole})
     keyed = keyed.withColumn("order", F.xxhash64("doc_id", F.lit(10))).withColumn("salt", (F.shiftrightunsigned("order", 33) * salts / F.lit(1 << 31)).cast("int"))
     ahead = W.partitionBy("lane").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)
     before = keyed.groupBy("lane", "salt").count().select("lane", "salt", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("before"))
     within = W.partitionBy("lane", "salt").orderBy(F.shiftrightunsigned("order", 1), "order", "doc_id")
     ranked = keyed.withColumn("rank", F.row_number().over(within) - 1).join(before, ["lane", "salt"])
     ranked = ranked.withColumn("rank", F.col("rank") + F.col("before")).withColumn("block", F.expr(f"rank div {block_rows}"))
-    placed = ranked.join(F.broadcast(spans), "lane").where("block >= first AND block < last")
-    placed = placed.withColumn("j", F.expr("(block - first) % share")).withColumn("start", F.expr("first_slot + ((block - first) div share) * length"))
-    placed = placed.join(F.broadcast(slots), ["lane", "phase", "j"])
+    placed = ranked.join(slots, ["lane", "block"])
     return placed.select(
         *[F.col(f"`{c}`") for c in docs.columns],
         "lane_weight",
         "block",
-        F.expr("start + (j * length) div share").alias("release"),
-        F.expr("start + ((j + 1) * length + share - 1) div share").alias("deadline"),
-        F.expr("start + in_period").alias("slot"),
-        F.expr(f"(start + in_period) * {block_rows} + rank % {block_rows}").alias("position"),
+        "release",
+        "deadline",
+        "slot",
+        F.expr(f"slot * {block_rows} + rank % {block_rows}").alias("position"),
     )
 
 

@@ -247,3 +247,37 @@ def test_sequences_follow_the_mix(spark, tmp_path, monkeypatch):
         filled[r.sequence_id] += r.length
     assert max(filled.values()) <= packing.CAPACITY
     assert packing.pack_in_order(spark.createDataFrame([], "doc_id long, text string, position long")).count() == 0
+
+
+@pytest.mark.parametrize("weights", [[1 / 3, *[2 / 3 / 49] * 49], [0.9999, 0.0001], [0.37, *[0.63 / 19] * 19], [5.0, 1e-7, 0.3]])
+def test_mix_keeps_the_exact_target(weights):
+    whole = mixing.whole_weights(dict(enumerate(weights)))
+    assert all(whole[i] * weights[0].as_integer_ratio()[0] * w.as_integer_ratio()[1] == whole[0] * w.as_integer_ratio()[0] * weights[0].as_integer_ratio()[1] for i, w in enumerate(weights))
+    blocks = {i: max(1, int(20_000 * w / sum(weights))) + i % 3 for i, w in enumerate(weights)}
+    had, seen = Counter(), 0
+    fluid, used = dict.fromkeys(blocks, 0.0), set()
+    for slot, (lane, block, release, deadline, at) in enumerate(mixing.schedule(blocks, whole)):
+        assert at == slot and release <= slot < deadline and block == had[lane]
+        had[lane] += 1
+        seen += 1
+        room = 1.0  # the fluid mix goes on by one slot; lanes run out inside it
+        while room > 1e-12 and len(used) < len(blocks):
+            rate = sum(weights[i] for i in blocks if i not in used)
+            span = min(room, min((blocks[i] - fluid[i]) * rate / weights[i] for i in blocks if i not in used))
+            for i in blocks:
+                if i not in used:
+                    fluid[i] += weights[i] / rate * span
+            used |= {i for i in blocks if i not in used and blocks[i] - fluid[i] < 1e-9}
+            room -= span
+        if slot % 7 == 0 or slot < 50:
+            assert all(abs(had[i] - fluid[i]) < 1 + 1e-6 for i in blocks)
+    assert had == blocks and seen == sum(blocks.values())
+
+
+def test_mix_reports_the_target(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 50 == 0, "rare").otherwise("often").alias("source"))
+    rows = mixing.mix(docs, weights={"often": 0.9999, "rare": 0.0001}).collect()
+    assert {r.source: round(r.lane_weight, 12) for r in rows} == {"often": 0.9999, "rare": 0.0001}
+    assert all(r.release <= r.slot < r.deadline and r.position // mixing.BLOCK_ROWS == r.slot for r in rows)
+    with pytest.raises(ValueError):
+        mixing.mix(docs, weights={"often": 1.0, "rare": 0.0})
