@@ -32,7 +32,7 @@ from .common import shared_dir, table
 BLOCK_ROWS = 8
 FLATTEN = 0.7  # default target: share of the corpus to this power, which lifts small sources
 CHUNK_SLOTS = 250_000  # slots of the schedule that the driver holds
-MAX_LANES = 256
+BROADCAST_LANES = 200_000  # names of lanes that go to every task; more are joined by shuffling
 RANK_ROWS = 50_000  # rows that are ranked together
 
 
@@ -130,35 +130,31 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: in
     ``position`` is the place in the mix (blocks of fewer rows at a lane's end leave gaps).  A lane's
     documents come in a fixed pseudo-random order of doc_id; equal ids are in any order.  Sources
     that ``weights`` doesn't name get the smallest weight named.  Null sources are a lane of their
-    own; of more than 256 sources, the smallest share the last lane.  An empty table stays empty.
+    own, and so is every other source, however many there are.  An empty table stays empty.
     Columns of docs that have one of the new names are replaced."""
     spark = docs.sparkSession
     new = ["lane", "lane_weight", "block", "release", "deadline", "slot", "position"]
     docs = docs.drop(*new)
     name = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
     sizes = docs.groupBy(name.alias("name")).count()
-    largest = sizes.orderBy(F.desc("count"), "name").limit(MAX_LANES - 1).collect()
-    total = sizes.agg(F.sum("count").alias("n"), F.count("*").alias("k")).first()
-    if not total["n"]:
+    rows, names = {}, {}
+    for i, r in enumerate(sorted(sizes.collect(), key=lambda r: (-r["count"], r["name"]))):
+        rows[i], names[i] = r["count"], r["name"]
+    total = sum(rows.values())
+    if not total:
         return docs.selectExpr("*", "cast(null as double) lane_weight", *[f"cast(null as bigint) {c}" for c in new[2:]])
-    rows = {i: r["count"] for i, r in enumerate(largest)}
-    names = {i: r["name"] for i, r in enumerate(largest)}
-    rest = len(largest)
-    if total["k"] > rest:
-        rows[rest], names[rest] = total["n"] - sum(rows.values()), None
     if weights is None:
-        target = {i: (n / total["n"]) ** flatten for i, n in rows.items()}
+        target = {i: (n / total) ** flatten for i, n in rows.items()}
     else:
-        target = {i: float(weights.get("" if s is None else s[1:], min(weights.values()))) for i, s in names.items()}
+        least = min(weights.values())
+        target = {i: float(weights.get(s[1:], least)) for i, s in names.items()}
     share = whole_weights(target)
     whole = sum(share.values())
     slots = written(spark, schedule({i: -(-n // block_rows) for i, n in rows.items()}, share))
-    lanes = spark.createDataFrame([(s, i, share[i] / whole) for i, s in names.items() if s is not None], "name string, lane long, lane_weight double")
+    lanes = spark.createDataFrame(pa.table({"name": pa.array(list(names.values()), pa.string()), "lane": pa.array(list(names), pa.int64()), "lane_weight": pa.array([share[i] / whole for i in names], pa.float64())}))
 
-    salts = max(1, math.ceil(total["n"] / RANK_ROWS))
-    keyed = docs.withColumn("name", name).join(F.broadcast(lanes), "name", "left").drop("name")
-    if total["k"] > rest:
-        keyed = keyed.fillna({"lane": rest, "lane_weight": share[rest] / whole})
+    salts = max(1, math.ceil(total / RANK_ROWS))
+    keyed = docs.withColumn("name", name).join(F.broadcast(lanes) if len(names) <= BROADCAST_LANES else lanes, "name").drop("name")
     keyed = keyed.withColumn("order", F.xxhash64("doc_id", F.lit(10))).withColumn("salt", (F.shiftrightunsigned("order", 33) * salts / F.lit(1 << 31)).cast("int"))
     ahead = W.partitionBy("lane").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)
     before = keyed.groupBy("lane", "salt").count().select("lane", "salt", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("before"))

@@ -281,3 +281,20 @@ def test_mix_reports_the_target(spark):
     assert all(r.release <= r.slot < r.deadline and r.position // mixing.BLOCK_ROWS == r.slot for r in rows)
     with pytest.raises(ValueError):
         mixing.mix(docs, weights={"often": 1.0, "rare": 0.0})
+
+
+def test_mix_of_many_sources(spark):
+    docs = spark.range(9000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.when(F.col("id") < 3000, F.col("id") % 299).otherwise(F.lit(299) + F.col("id") % 2)).alias("source"))
+    docs = docs.unionByName(spark.range(9000, 9040).select(F.col("id").alias("doc_id"), F.lit("small").alias("source")))
+    names = [f"s{i}" for i in range(301)] + ["small"]
+    weights = {s: 1.0 for s in names} | {"small": 100.0}
+    rows = mixing.mix(docs, weights=weights).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(9040))
+    assert {r.source: r.lane_weight for r in rows} == {s: w / 401 for s, w in weights.items()}
+    assert all(r.release <= r.slot < r.deadline for r in rows)
+    # five blocks at a target of about a quarter of the slots are over within 21 slots
+    assert max(r.slot for r in rows if r.source == "small") <= 21
+    plain = mixing.mix(docs).collect()
+    own = Counter(r.source for r in plain)
+    of_all = sum((n / 9040) ** mixing.FLATTEN for n in own.values())
+    assert all(abs(r.lane_weight - (own[r.source] / 9040) ** mixing.FLATTEN / of_all) < 1e-12 for r in plain)
