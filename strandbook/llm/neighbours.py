@@ -6,7 +6,11 @@ then perturbed cells in the order of estimated success (expected squared distanc
 borders, taken by rank).  Candidates of all tables are merged and ranked by the exact inner product.
 
 Inner product search is reduced to distance search by one more component that brings every stored
-vector to the largest norm, so the method holds for vectors of any length.
+vector to the largest norm of its range of norms.  Each range has a scale and cells of its own, and a
+query probes the cells of all ranges, so a few long vectors don't press the others together.
+
+A query that finds fewer than k + 1 entries, though there are more, is answered by an exact pass over
+all entries in blocks.  The other answers are approximate: a nearer entry may lie in no probed cell.
 
 Cells are spread over tasks in blocks of bounded size; equal vectors are one entry that keeps its
 smallest ids, as many as an answer can use, so a vector repeated without end costs no more.
@@ -29,6 +33,8 @@ from .common import cut, table
 HASHES, TABLES, WIDTH, PROBES = 4, 4, 1.5, 32
 BLOCK_ROWS = 20_000  # rows of one cell that one task holds at most
 SHARD_ROWS = 60_000  # index rows of one group of cells
+RANGES = 2.0  # ranges of norms for each doubling of the norm
+ASKED_ROWS = 2_000  # queries of a block of the exact pass
 
 
 def probe_order(hashes: int, probes: int) -> list[tuple[int, ...]]:
@@ -56,7 +62,7 @@ def probe_order(hashes: int, probes: int) -> list[tuple[int, ...]]:
 class Hasher:
     """The random projections of all tables; the same seed gives the same cells everywhere."""
 
-    def __init__(self, dim: int, largest: float, hashes: int, tables: int, width: float, seed: int):
+    def __init__(self, dim: int, largest: dict[int, float], hashes: int, tables: int, width: float, seed: int):
         rng = np.random.default_rng(seed)
         self.largest, self.hashes, self.tables = largest, hashes, tables
         self.a = rng.normal(size=(dim + 1, tables * hashes)) / width
@@ -66,10 +72,10 @@ class Hasher:
     def _key(self, cells: np.ndarray) -> np.ndarray:
         return ((cells.astype(np.int64).astype(np.uint64) + np.uint64(1 << 20)) * self.mix).sum(-1, dtype=np.uint64).view(np.int64)
 
-    def stored(self, x: np.ndarray) -> np.ndarray:
-        """(n, tables) keys."""
-        rest = np.sqrt(np.maximum(0.0, self.largest**2 - (x * x).sum(1)))
-        y = np.c_[x, rest] / self.largest
+    def stored(self, x: np.ndarray, span: np.ndarray) -> np.ndarray:
+        """(n, tables) keys; span: the range of each vector's norm."""
+        x = x / np.array([self.largest[int(r)] for r in span])[:, None]
+        y = np.c_[x, np.sqrt(np.maximum(0.0, 1 - (x * x).sum(1)))]
         return self._key(np.floor(y @ self.a + self.b).reshape(len(x), self.tables, self.hashes))
 
     def probes(self, q: np.ndarray, order: list[tuple[int, ...]]) -> np.ndarray:
@@ -102,9 +108,9 @@ def _search(k: int):
         if stored.empty or asked.empty:
             return none
         x, q = _matrix(stored["embedding"]), _matrix(asked["embedding"])
-        cells = asked.groupby(["tab", "cell", "salt"]).indices
+        cells = asked.groupby(["tab", "cell", "span", "salt"]).indices
         got = []
-        for cell, rows in stored.groupby(["tab", "cell", "salt"]).indices.items():
+        for cell, rows in stored.groupby(["tab", "cell", "span", "salt"]).indices.items():
             if (at := cells.get(cell)) is None:
                 continue
             ids = stored["v"].to_numpy()[rows]
@@ -144,27 +150,30 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, hashes: int = HASH
         .where("vec_id IS NOT NULL AND embedding IS NOT NULL AND size(embedding) > 0")
         .where(~F.exists("embedding", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))))
         .withColumn("norm", F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, c: s + c * c)))
-        .where("norm > 0")
+        .where("norm > 0 AND norm < double('infinity')")
+        .withColumn("span", F.floor(F.log2("norm") * RANGES).cast("int"))
     )
-    sizes = clean.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n"), F.max("norm").alias("largest")).orderBy(F.desc("n"), F.desc("dim")).limit(1).collect()
+    sizes = clean.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("dim")).limit(1).collect()
     if not sizes:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim, largest = sizes[0]["dim"], float(sizes[0]["largest"]) * (1 + 1e-12)
+    dim = sizes[0]["dim"]
+    # norms are doubles, so there are at most some thousands of ranges
+    largest = {r["span"]: r["norm"] * (1 + 1e-12) for r in clean.where(F.size("embedding") == dim).groupBy("span").agg(F.max("norm").alias("norm")).collect()}
     hasher, order = Hasher(dim, largest, hashes, tables, width, seed), probe_order(hashes, probes)
 
     # one entry for each distinct vector; an answer never needs more than its k + 1 smallest ids
-    rows = clean.where(F.size("embedding") == dim).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    rows = clean.where(F.size("embedding") == dim).groupBy("vec_id").agg(F.min(F.struct("embedding", "span")).alias("least")).select("vec_id", "least.embedding", "least.span")
     rows = cut(rows.withColumn("digest", F.xxhash64("embedding")))
-    entries = rows.groupBy("digest", "embedding").agg(F.min("vec_id").alias("v"), F.count("*").alias("copies"))
-    entries = cut(entries.select("digest", "v", "embedding", "copies"))
+    entries = rows.groupBy("digest", "embedding").agg(F.min("vec_id").alias("v"), F.first("span").alias("span"), F.count("*").alias("copies"))
+    entries = cut(entries.select("digest", "v", "embedding", "span", "copies"))
     first = rows.select("vec_id", "digest", "embedding").join(entries.where("copies > 1").select("digest", "embedding", "v"), ["digest", "embedding"]).select("v", "vec_id")
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
             if len(part):
-                keys = hasher.stored(_matrix(part["embedding"]))
+                keys = hasher.stored(_matrix(part["embedding"]), part["span"].to_numpy())
                 for t in range(tables):
-                    yield pd.DataFrame({"v": part["v"], "tab": np.int32(t), "cell": keys[:, t], "embedding": part["embedding"]})
+                    yield pd.DataFrame({"v": part["v"], "tab": np.int32(t), "cell": keys[:, t], "span": part["span"], "embedding": part["embedding"]})
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
@@ -175,7 +184,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, hashes: int = HASH
                 for t in range(tables):
                     yield pd.DataFrame({"q": np.repeat(some["v"].to_numpy(), n), "tab": np.int32(t), "cell": keys[:, t].ravel(), "embedding": np.repeat(some["embedding"].to_numpy(), n)})
 
-    stored = entries.select("v", "embedding").mapInPandas(index, "v long, tab int, cell long, embedding array<double>")
+    stored = entries.select("v", "span", "embedding").mapInPandas(index, "v long, tab int, cell long, span int, embedding array<double>")
     # queries with equal vectors share one search
     wanted = rows.where(F.col("vec_id") % every == 0).select("vec_id", "digest", "embedding")
     wanted = wanted.join(entries.select("digest", "embedding", "v"), ["digest", "embedding"]).select("vec_id", "v", "embedding")
@@ -185,16 +194,30 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, hashes: int = HASH
     # cells hold bounded blocks: a cell with more rows is cut by a salt and each part is probed
     n_entries = entries.count()
     shards = max(1, math.ceil(n_entries * tables / SHARD_ROWS))
-    salts = stored.groupBy("tab", "cell").agg(F.ceil(F.count("*") / F.lit(BLOCK_ROWS)).cast("int").alias("salts"))
-    stored = stored.join(salts, ["tab", "cell"]).withColumn("salt", F.pmod(F.xxhash64("v"), F.col("salts")).cast("int"))
-    asked = asked.join(salts, ["tab", "cell"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    shard = F.pmod(F.xxhash64("tab", "cell", "salt"), F.lit(shards)).cast("int")
+    salts = stored.groupBy("tab", "cell", "span").agg(F.ceil(F.count("*") / F.lit(BLOCK_ROWS)).cast("int").alias("salts"))
+    stored = stored.join(salts, ["tab", "cell", "span"]).withColumn("salt", F.pmod(F.xxhash64("v"), F.col("salts")).cast("int"))
+    asked = asked.join(salts.select("tab", "cell", (F.col("span") + 0).alias("span"), "salts"), ["tab", "cell"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    shard = F.pmod(F.xxhash64("tab", "cell", "span", "salt"), F.lit(shards)).cast("int")
     stored, asked = stored.drop("salts").withColumn("shard", shard), asked.drop("salts").withColumn("shard", shard)
     found = stored.groupBy("shard").cogroup(asked.groupBy("shard")).applyInPandas(_search(k + 1), "q long, v long, score double")
     best = found.groupBy("q", "v").agg(F.max("score").alias("score"))
     best = best.withColumn("n", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "v"))).where(F.col("n") <= k + 1)
     best = cut(best.drop("n"))
 
+    # the exact pass for queries whose cells held too little
+    enough = best.groupBy("q").count().where(F.col("count") >= min(k + 1, n_entries)).select(F.col("q").alias("v"))
+    short = cut(shared.join(enough, "v", "left_anti"))
+    n_short = short.count()
+    if n_short:
+        blocks, groups = math.ceil(n_entries / BLOCK_ROWS), math.ceil(n_short / ASKED_ROWS)
+        whole = [F.lit(0).alias(c) for c in ("tab", "cell", "span", "salt")]  # a block is one cell
+        block, group = (F.pmod(F.xxhash64("v", F.lit(seed)), F.lit(n)).cast("int") for n in (blocks, groups))
+        all_stored = entries.select("v", "embedding", *whole, block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
+        all_asked = short.select(F.col("v").alias("q"), "embedding", *whole, group.alias("group"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+        exact = all_stored.groupBy("block", "group").cogroup(all_asked.groupBy("block", "group")).applyInPandas(_search(k + 1), "q long, v long, score double")
+        exact = exact.withColumn("n", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "v"))).where(F.col("n") <= k + 1).drop("n")
+        best = cut(best.join(short.select(F.col("v").alias("q")), "q", "left_anti").unionByName(exact))
+
     # entries back to rows: the entry's own id, and the next smallest ids of repeated vectors
     members = first.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(64)))
     members = members.withColumn("n", F.row_number().over(W.partitionBy("v", "part").orderBy("vec_id"))).where(F.col("n") <= k + 1)

@@ -298,3 +298,34 @@ def test_mix_of_many_sources(spark):
     own = Counter(r.source for r in plain)
     of_all = sum((n / 9040) ** mixing.FLATTEN for n in own.values())
     assert all(abs(r.lane_weight - (own[r.source] / 9040) ** mixing.FLATTEN / of_all) < 1e-12 for r in plain)
+
+
+def recall(spark, x, every, k=20):
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)]
+    found = defaultdict(list)
+    for r in sorted(neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=k, every=every).collect(), key=lambda r: r.rank):
+        found[r.query_id].append(r.vec_id)
+    exact, hits, wanted = x @ x.T, 0, 0
+    for q in range(0, len(x), every):
+        best = [i for i in np.argsort(-exact[q], kind="stable").tolist() if i != q][:k]
+        assert len(found[q]) == len(best)
+        hits, wanted = hits + len(set(best) & set(found[q])), wanted + len(best)
+    return hits / wanted
+
+
+def test_neighbours_of_tiny_tables_are_exact(spark):
+    rng = np.random.default_rng(3)
+    assert recall(spark, rng.normal(size=(15, 64)), 1) == 1
+    assert recall(spark, rng.normal(size=(2, 64)), 1) == 1
+
+
+@pytest.mark.parametrize("norms", ["one long", "lognormal"])
+def test_neighbours_of_uneven_norms(spark, norms):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(100, 64))
+    x = centres[rng.integers(100, size=4000)] + 0.5 * rng.normal(size=(4000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x *= rng.lognormal(size=(4000, 1)) if norms == "lognormal" else np.where(np.arange(4000) == 7, 20.0, 1.0)[:, None]
+    got = recall(spark, x, 40)
+    print(norms, got)
+    assert got >= 0.95
