@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,3 +50,22 @@ def few_ids(ids: DataFrame, bound: int) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def rows_of(batch: pa.RecordBatch, step: int = 256) -> Iterator[tuple]:
+    """Rows of a batch, a few at a time as Python objects."""
+    for lo in range(0, batch.num_rows, step):
+        yield from zip(*(c.slice(lo, step).to_pylist() for c in batch.columns), strict=True)
+
+
+def parts_of(batch: pa.RecordBatch, column: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in parts whose binary or string ``column`` has about ``most`` bytes, a row at least."""
+    import pyarrow.compute as pc
+
+    size = pc.cumulative_sum(pc.fill_null(pc.binary_length(batch.column(column)), 0).cast(pa.int64())).to_numpy(zero_copy_only=False)
+    lo = 0
+    while lo < batch.num_rows:
+        before = size[lo - 1] if lo else 0
+        hi = max(lo + 1, int(size.searchsorted(before + most, side="right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
