@@ -54,7 +54,8 @@ def test_components(spark):
 
 def test_near_classes_equal_brute_force(docs):
     known = {r.doc_id: r.text for r in docs.collect()}
-    vec = {i: neardup.shingles(neardup.words_of(t)) for i, t in known.items() if t and neardup.words_of(t)}
+    hashed = dict(zip(known, neardup.words_of([t or "" for t in known.values()]), strict=True))
+    vec = {i: neardup.shingles(h) for i, h in hashed.items() if len(h)}
     df = Counter(x for s, _ in vec.values() for x in s.tolist())
     n = sum(t is not None for t in known.values())
     weights = neardup.Weights({k: v for k, v in df.items() if v * neardup.RARE >= n}, n)
@@ -80,7 +81,12 @@ def test_near_classes_equal_brute_force(docs):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(got.values())) and kept.columns == docs.columns
 
 
-def test_repeats_equal_brute_force(docs):
+@pytest.mark.parametrize("how", [{}, {"slice_bytes": 900, "held": 2}, {"slice_bytes": 3000, "hot": 2}, {"slice_bytes": 1500, "hot": 1, "held": 1}])
+def test_repeats_equal_brute_force(spark, docs, how):
+    rng = random.Random(8)
+    passage = "".join(rng.choices("abcde fghij", k=900))
+    odd = [("x" + passage[:k] + str(k) * 300 + passage[k:]) for k in range(0, 900, 45)] + ["ab" * 700, "ab" * 350 + "z", "é" * 500, passage + passage]
+    docs = docs.unionByName(spark.createDataFrame([(1000 + i, t, "en", None, len(t), 1, "x", "y") for i, t in enumerate(odd)], docs.schema))
     some = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
     seen = Counter(t[s : s + 400] for t in some.values() for s in range(len(t) - 399))
     want = {}
@@ -90,11 +96,18 @@ def test_repeats_equal_brute_force(docs):
             if seen[t[s : s + 400]] > 1:
                 cover[s : s + 400] = True
         want[i] = (len(t), int(cover.sum()), int((np.diff(np.r_[False, cover].astype(int)) == 1).sum()), bytes(np.frombuffer(t, np.uint8)[~cover]))
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in substrings.remove_repeats(docs).collect()}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in substrings.remove_repeats(docs, **how).collect()}
     assert got == want
     assert substrings.remove_repeats(nothing(docs)).count() == 0
 
 
+def test_repeated_rows_lose_everything_long(spark):
+    text = "".join(random.Random(3).choices("abcdefgh ", k=1000))
+    rows = [(7, text), (7, text), (7, "short"), (7, "short"), (None, text[:399]), (None, None)]
+    got = sorted((r.n_bytes, r.n_removed) for r in substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(0, 0), (5, 0), (5, 0), (399, 0), (1000, 1000), (1000, 1000)]
+
+
 def test_fingerprints(docs):
     got = {r.doc_id: r for r in fingerprints.fingerprints(docs).collect()}
     known = {r.doc_id: r.text or "" for r in docs.collect()}
