@@ -26,7 +26,8 @@ def current_keys(generations: DataFrame, tombstones: DataFrame) -> DataFrame:
 
 
 def keyrings(generations: DataFrame, tombstones: DataFrame, subjects: DataFrame) -> DataFrame:
-    """One row for each asked subject with its key ids in order; soft-deleted ones have none.
+    """One row for each asked subject with its key ids in order; soft-deleted ones have none, and so do
+    subjects without keys.
 
     A subject has few generations, so the array is small."""
     alive = generations.join(soft_deleted(tombstones), "subject", "left_anti")
@@ -40,12 +41,39 @@ def next_generation(generations: DataFrame, subjects: DataFrame) -> DataFrame:
     return subjects.select("subject").join(have, "subject", "left").select("subject", F.coalesce(F.col("newest") + 1, F.lit(0).cast("long")).alias("generation"))
 
 
+def lookup_status(wanted: DataFrame, generations: DataFrame, tombstones: DataFrame) -> DataFrame:
+    """``wanted`` (subject, generation, ...) with key and status: ok, erased (no key), or missing.
+
+    A key is missing when there is no such generation and no tombstone that is pending or committing
+    tells why; a cancelled tombstone explains nothing."""
+    met = wanted.join(generations.select("subject", "generation", "key"), ["subject", "generation"], "left")
+    met = met.join(soft_deleted(tombstones).withColumn("gone", F.lit(True)), "subject", "left")
+    status = F.when(F.col("gone"), "erased").when(F.col("key").isNotNull(), "ok").otherwise("missing")
+    return met.withColumn("status", status).withColumn("key", F.when(F.col("status") == "ok", F.col("key"))).drop("gone")
+
+
 def lookup(wanted: DataFrame, generations: DataFrame, tombstones: DataFrame) -> DataFrame:
-    """``wanted`` (subject, generation, ...) with key; null where the subject was erased.  A missing
-    key without a tombstone is corruption and fails."""
-    met = wanted.join(generations, ["subject", "generation"], "left").join(tombstones.select("subject", F.col("status").alias("tomb")), "subject", "left")
-    lost = F.raise_error(F.concat(F.lit("key is missing without a tombstone: "), F.col("subject"))).cast("binary")
-    return met.withColumn("key", F.when(F.col("tomb").isin(*GONE), F.lit(None).cast("binary")).when(F.col("key").isNotNull(), F.col("key")).when(F.col("tomb").isNotNull(), F.lit(None).cast("binary")).otherwise(lost)).drop("tomb")
+    """``wanted`` (subject, generation, ...) with key; null where the subject was erased.  A key that was
+    never minted fails."""
+    met = lookup_status(wanted, generations, tombstones)
+    lost = F.raise_error(F.concat(F.lit("key was never minted: "), F.col("subject"))).cast("binary")
+    return met.withColumn("key", F.when(F.col("status") == "missing", lost).otherwise(F.col("key"))).drop("status")
+
+
+def mint(wanted: DataFrame, generations: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """``wanted`` (subject, generation) -> subject, generation, key_id, outcome, stray, audit.
+
+    ``before`` and ``after`` are the tombstones as read before and after the write.  outcome: minted,
+    erased (a tombstone forbids it) or lost-race (the generation exists).  stray: an erased subject's key
+    was written before its tombstone was seen; nothing is encrypted under it and no keyring has it.
+    audit: KeyCreated or KeyRotated for what was minted."""
+    gone = lambda stones, name: soft_deleted(stones).distinct().withColumn(name, F.lit(True))
+    met = wanted.select("subject", "generation").join(gone(before, "was"), "subject", "left").join(gone(after, "then"), "subject", "left")
+    met = met.join(generations.select("subject", "generation", F.lit(True).alias("exists")), ["subject", "generation"], "left")
+    outcome = F.when(F.col("was"), "erased").when(F.col("exists"), "lost-race").when(F.col("then"), "erased").otherwise("minted")
+    stray = F.col("then").isNotNull() & F.col("was").isNull() & F.col("exists").isNull()
+    audit = F.when(F.col("outcome") == "minted", F.when(F.col("generation") == 0, "KeyCreated").otherwise("KeyRotated"))
+    return met.select("subject", "generation", generation_id(F.col("generation")).alias("key_id"), outcome.alias("outcome"), stray.alias("stray")).withColumn("audit", audit)
 
 
 def undeliverable(events: DataFrame, generations: DataFrame, tombstones: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import keys as K
@@ -32,8 +33,11 @@ def query(text: str, *views: str) -> Callable[[Query], Query]:
 
 
 def shared(spark: SparkSession, name: str) -> str:
-    """A new folder that executors share."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandbook-")
+    """A new folder that executors share; only a local session may do without the setting."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    top = top or tempfile.mkdtemp(prefix="strandbook-")
     return f"{top}/{name}-{uuid.uuid4().hex}"
 
 
@@ -503,10 +507,28 @@ def undeliverable_keys(spark, d):
     return keystore.undeliverable(wanted, V.key_generations(spark, d), _stones(spark, d)).select("subject", "version", "generation")
 
 
-@query("SELECT k.subject, k.generation, coalesce(t.status NOT IN ('pending', 'committing'), true) AS deliverable FROM kg k LEFT JOIN tomb t USING (subject)", "kg", "tomb")
+MISSING = "(SELECT subject, generation FROM kg UNION SELECT subject, generation + 100 FROM kg)"
+
+
+@query(f"SELECT w.subject, w.generation, CASE WHEN t.status IN ('pending', 'committing') THEN 'erased' WHEN k.subject IS NOT NULL THEN 'ok' ELSE 'missing' END AS status FROM {MISSING} w LEFT JOIN kg k USING (subject, generation) LEFT JOIN tomb t ON t.subject = w.subject", "kg", "tomb")
 def key_lookup(spark, d):
+    """Every key, and as many that were never minted."""
     g = V.key_generations(spark, d)
-    return keystore.lookup(g.select("subject", "generation"), g, _stones(spark, d)).select("subject", "generation", F.col("key").isNotNull().alias("deliverable"))
+    wanted = g.select("subject", "generation").unionByName(g.select("subject", (F.col("generation") + 100).alias("generation")))
+    return keystore.lookup_status(wanted, g, _stones(spark, d)).select("subject", "generation", "status")
+
+
+@query(
+    "SELECT subject, generation, lpad(CAST(generation AS VARCHAR), 6, '0') AS key_id, outcome, CASE WHEN outcome = 'minted' THEN CASE WHEN generation = 0 THEN 'KeyCreated' ELSE 'KeyRotated' END END AS audit, gone AND NOT was AND NOT there AS stray FROM (SELECT w.*, CASE WHEN was THEN 'erased' WHEN there THEN 'lost-race' WHEN gone THEN 'erased' ELSE 'minted' END AS outcome FROM (SELECT w.subject, w.generation, coalesce(t.status IN ('pending', 'committing'), false) AS gone, coalesce(t.status IN ('pending', 'committing'), false) AND length(w.subject) % 2 = 0 AS was, k.subject IS NOT NULL AS there FROM (SELECT h.stream_id AS subject, greatest(coalesce(max(generation) + 1, 0) - CAST(length(h.stream_id) % 2 AS BIGINT) * CAST(max(head) % 2 AS BIGINT), 0) AS generation FROM hd h LEFT JOIN kg ON kg.subject = h.stream_id GROUP BY h.stream_id) w LEFT JOIN tomb t USING (subject) LEFT JOIN kg k ON k.subject = w.subject AND k.generation = w.generation) w)",
+    "hd", "kg", "tomb",
+)
+def mint_keys(spark, d):
+    """Some minters know a generation that another one took; some tombstones appear between the reads."""
+    g, stones = V.key_generations(spark, d), _stones(spark, d)
+    late = F.length("subject") % 2 * (F.col("head") % 2)
+    heads = replay.heads(V.stream_events(spark, d)).select(F.col("stream_id").alias("subject"), F.col("version").alias("head"))
+    wanted = keystore.next_generation(g, heads).join(heads, "subject").select("subject", F.greatest(F.col("generation") - late, F.lit(0)).alias("generation"))
+    return keystore.mint(wanted, g, stones.where("length(subject) % 2 = 0"), stones)
 
 
 @query("SELECT subject, position FROM oi", "oi")
@@ -519,15 +541,80 @@ def newest_intent(spark, d):
     return shred.newest_intents(shred.open_intents(V.audit_events(spark, d))).select("subject", "position")
 
 
-@query("SELECT subject, position, ts + INTERVAL 14 DAY <= TIMESTAMP '2024-01-20 00:00:00' AS due FROM (SELECT subject, max(position) AS position, arg_max(ts, position) AS ts FROM oi GROUP BY subject)", "oi")
+NOW = "cast('2024-01-20 00:00:00' as timestamp_ntz)"
+
+
+def _swept(spark, d):
+    audit = V.audit_events(spark, d)
+    return audit, shred.sweep(audit, shred.tombstones(audit), F.expr(NOW), "14 DAY")
+
+
+def _committed(spark, d):
+    """Some tombstones move between the sweep's reading and its writing."""
+    audit, swept = _swept(spark, d)
+    now = F.when(F.col("position") % 3 == 0, "pending").when(F.col("position") % 3 == 1, "committing").otherwise("cancelled")
+    return audit, shred.commit_point(swept, swept.select("subject", now.alias("status"), (F.length("subject") % 4 == 0).alias("etag_moved")))
+
+
+@query("SELECT subject, position, outcome FROM sw", "sw")
 def sweep_due(spark, d):
-    newest = shred.newest_intents(shred.open_intents(V.audit_events(spark, d)))
-    return shred.sweep(newest, F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"), "14 DAY").select("subject", "position", "due")
+    return _swept(spark, d)[1]
+
+
+@query("SELECT subject, position, outcome FROM cp", "cp")
+def sweep_commit_point(spark, d):
+    return _committed(spark, d)[1].select("subject", "position", "outcome")
+
+
+RECONCILED = "SELECT subject FROM st JOIN (SELECT DISTINCT subject, intent FROM au WHERE type = 'ShredCancelled' AND position > intent) c USING (subject, intent) WHERE status = 'pending' AND subject NOT IN (SELECT subject FROM oi)"
+
+
+@query(f"SELECT subject, CASE outcome WHEN 'committed' THEN 'hardDeleted' ELSE 'open' END AS outcome FROM cp WHERE outcome IN ('committed', 'waiting') UNION ALL SELECT subject, 'reconciled' FROM ({RECONCILED})", "cp", "st", "au", "oi")
+def sweep_report(spark, d):
+    audit, committed = _committed(spark, d)
+    return shred.report(committed, shred.reconcile(shred.tombstones(audit), audit))
+
+
+@query("SELECT subject, generation FROM kg WHERE subject NOT IN (SELECT subject FROM cp WHERE outcome = 'committed')", "kg", "cp")
+def sweep_hard_delete(spark, d):
+    return shred.hard_delete(V.key_generations(spark, d), _committed(spark, d)[1]).select("subject", "generation")
+
+
+@query("SELECT count(*) AS n, count(DISTINCT subject) AS subjects, count(DISTINCT position) AS places, min(position) AS low, max(position) AS high FROM (SELECT subject, (SELECT max(position) + 1 FROM au) + row_number() OVER (ORDER BY subject) - 1 AS position FROM cp WHERE outcome = 'committed')", "cp", "au")
+def sweep_completions(spark, d):
+    """Audit entries of the deleted: one each, on dense places after the log's end."""
+    audit, committed = _committed(spark, d)
+    start = F.lit(audit.agg(F.coalesce(F.max("position") + 1, F.lit(0))).first()[0])
+    done = shred.completions(committed, start)
+    return done.agg(F.count("*").alias("n"), F.count_distinct("subject").alias("subjects"), F.count_distinct("position").alias("places"), F.min("position").alias("low"), F.max("position").alias("high"))
+
+
+@query("SELECT subject, position, (SELECT max(position) + 1 FROM au) AS from_version FROM oi WHERE subject NOT IN (SELECT subject FROM cp WHERE outcome = 'committed')", "oi", "cp", "au")
+def sweep_checkpoint(spark, d):
+    audit, committed = _committed(spark, d)
+    return shred.checkpoint(audit, committed)
+
+
+@query("SELECT subject, position FROM oi", "oi")
+def sweep_resumed(spark, d):
+    """Open intents from a checkpoint taken in the middle of the log and the entries after it."""
+    audit = V.audit_events(spark, d)
+    early = audit.where("ts < '2024-01-12'")
+    return shred.resumed(shred.checkpoint(early, early.select("subject", F.lit("waiting").alias("outcome"))), audit)
+
+
+@query("SELECT subject, position + 1000000000 AS intent FROM (SELECT stream_id AS subject, row_number() OVER (ORDER BY stream_id) - 1 AS position FROM hd) WHERE subject NOT IN (SELECT subject FROM tomb WHERE status = 'committing')", "hd", "tomb")
+def shred_requests(spark, d):
+    """A request for every stream: pending tombstones take the new intent, committed ones stay."""
+    audit = V.audit_events(spark, d)
+    subjects = replay.heads(V.stream_events(spark, d)).select(F.col("stream_id").alias("subject"), (F.row_number().over(W.orderBy("stream_id")) - 1).alias("n"), F.expr(NOW).alias("ts"))
+    stones = shred.tombstones(shred.requested(audit, subjects, F.lit(1_000_000_000)))
+    return stones.where("status = 'pending'").select("subject", "intent")
 
 
 @query("SELECT subject, arg_max(status, n) AS status, max(intent) FILTER (n = top) AS intent, max(since) FILTER (n = top) AS requested_at FROM (SELECT *, max(n) OVER (PARTITION BY subject) AS top FROM ts0) GROUP BY subject", "ts0")
 def tombstone_state(spark, d):
-    return _stones(spark, d)
+    return _stones(spark, d).drop("since")
 
 
 @query("SELECT subject, position, outcome FROM ts0 WHERE outcome IS NOT NULL", "ts0")

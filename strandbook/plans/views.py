@@ -93,10 +93,15 @@ SQL = {
     CASE WHEN p.status IN ('none', 'cancelled') THEN 'already-cancelled' WHEN p.status = 'committing' THEN 'lost-to-commit' WHEN p.intent <> q.intent THEN 'superseded' ELSE 'cancelled' END END AS oc
     FROM ts0 p JOIN sq q ON q.subject = p.subject AND q.n = p.n + 1)""",
     "tomb": "SELECT subject, arg_max(status, n) AS status FROM ts0 GROUP BY subject",
+    "st": "SELECT t.*, a.ts AS since_ts FROM (SELECT subject, status, intent, since FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY n DESC) AS r FROM ts0) WHERE r = 1) t LEFT JOIN au a ON a.position = t.since",
+    "sw": """SELECT n.subject, n.position, CASE status WHEN 'committing' THEN 'committed' WHEN 'pending' THEN CASE WHEN since_ts + INTERVAL 14 DAY <= TIMESTAMP '2024-01-20 00:00:00' THEN 'due' ELSE 'waiting' END END AS outcome
+  FROM (SELECT subject, max(position) AS position FROM oi GROUP BY subject) n JOIN st USING (subject) WHERE status IN ('pending', 'committing')""",
+    "cp": """SELECT subject, position, CASE WHEN outcome <> 'due' THEN outcome WHEN length(subject) % 4 <> 0 THEN 'committed'
+  ELSE CASE position % 3 WHEN 0 THEN 'waiting' WHEN 1 THEN 'committed' ELSE 'closed' END END AS outcome FROM sw""",
     "kg": "SELECT stream_id AS subject, row_number() OVER (PARTITION BY stream_id ORDER BY version) - 1 AS generation FROM se WHERE type = 'signup'",
     "alive": "SELECT * FROM kg WHERE subject NOT IN (SELECT subject FROM tomb WHERE status IN ('pending', 'committing'))",
 }
-NEEDS = {"ce": ["se"], "cm": ["ce"], "hd": ["se"], "au": ["au0"], "oi": ["au"], "att": ["se"], "ad": ["att"], "sq": ["au"], "ts0": ["sq"], "tomb": ["ts0"], "kg": ["se"], "alive": ["kg", "tomb"]}
+NEEDS = {"ce": ["se"], "cm": ["ce"], "hd": ["se"], "au": ["au0"], "oi": ["au"], "att": ["se"], "ad": ["att"], "sq": ["au"], "ts0": ["sq"], "tomb": ["ts0"], "st": ["ts0", "au"], "sw": ["oi", "st"], "cp": ["sw"], "kg": ["se"], "alive": ["kg", "tomb"]}
 
 
 def sql(body: str, *views: str) -> str:

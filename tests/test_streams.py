@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandbook.functions import keys as K
-from strandbook.operators import admission, crypto, feed, layout, replay, shred, transform
+from strandbook.operators import admission, crypto, feed, keystore, layout, replay, shred, transform
 from strandbook.sources.manifest import Conflict, Log
 
 
@@ -78,13 +78,48 @@ def test_altered_payload_fails_and_missing_key_is_shredded(spark):
         crypto.decrypt_payloads(altered, keys).collect()
 
 
+AUDIT = "position long, type string, subject string, intent long, ts timestamp_ntz"
+
+
+def audit_of(spark, *rows):
+    """(type, subject, intent, day of January) in the order of positions."""
+    from datetime import datetime
+
+    return spark.createDataFrame([(i, t, s, n, datetime(2024, 1, day)) for i, (t, s, n, day) in enumerate(rows)], AUDIT)
+
+
 def test_tombstones(spark):
-    audit = spark.createDataFrame(
-        [(0, "ShredRequested", "a", None), (1, "ShredRequested", "a", None), (2, "ShredCancelled", "a", 0), (3, "ShredCancelled", "a", 1), (4, "ShredCancelled", "a", 1), (5, "ShredRequested", "a", None), (6, "ShredCompleted", "a", None), (7, "ShredCancelled", "a", 5)],
-        "position long, type string, subject string, intent long",
-    )
+    asked, cancelled, done = "ShredRequested", "ShredCancelled", "ShredCompleted"
+    audit = audit_of(spark, (asked, "a", None, 1), (asked, "a", None, 2), (cancelled, "a", 0, 3), (cancelled, "a", 1, 4), (cancelled, "a", 1, 5), (asked, "a", None, 6), (done, "a", None, 7), (cancelled, "a", 5, 8))
     assert [r.outcome for r in shred.cancel_outcomes(audit).orderBy("position").collect()] == ["superseded", "cancelled", "already-cancelled", "lost-to-commit"]
-    assert tuple(shred.tombstones(audit).first()) == ("a", "committing", 5, 5)
+    assert tuple(shred.tombstones(audit).drop("since").first()) == ("a", "committing", 5, 5)
+    assert shred.tombstones(audit.limit(0)).count() == 0
+
+
+def test_waiting_period_runs_from_the_first_request(spark):
+    asked, cancelled = "ShredRequested", "ShredCancelled"
+    audit = audit_of(spark, (asked, "a", None, 1), (asked, "a", None, 13), (asked, "b", None, 1), (cancelled, "b", 2, 2), (asked, "b", None, 13), (asked, "c", None, 10))
+    now = F.lit("2024-01-20").cast("timestamp_ntz")
+    got = {r.subject: (r.position, r.outcome) for r in shred.sweep(audit, shred.tombstones(audit), now, "14 DAY").collect()}
+    assert got == {"a": (1, "due"), "b": (4, "waiting"), "c": (5, "waiting")}
+
+
+def test_lookup_fails_loudly_on_keys_never_minted(spark):
+    keys = spark.createDataFrame([("a", 0, bytearray(b"k"))], "subject string, generation long, key binary")
+    stones = spark.createDataFrame([("a", "cancelled"), ("b", "pending")], "subject string, status string")
+    ask = lambda *rows: spark.createDataFrame(rows, "subject string, generation long")
+    assert {(r.subject, r.key is not None) for r in keystore.lookup(ask(("a", 0), ("b", 0)), keys, stones).collect()} == {("a", True), ("b", False)}
+    with pytest.raises(Exception, match="never minted"):
+        keystore.lookup(ask(("a", 1)), keys, stones).collect()
+
+
+def test_mint_against_tombstones(spark):
+    wanted = spark.createDataFrame([("old", 0), ("late", 0), ("raced", 0), ("fresh", 0), ("next", 3)], "subject string, generation long")
+    keys = spark.createDataFrame([("raced", 0), ("next", 2)], "subject string, generation long")
+    before = spark.createDataFrame([("old", "pending"), ("fresh", "cancelled")], "subject string, status string")
+    after = before.unionByName(spark.createDataFrame([("late", "pending")], "subject string, status string"))
+    got = {r.subject: (r.outcome, r.stray, r.audit) for r in keystore.mint(wanted, keys, before, after).collect()}
+    assert got == {"old": ("erased", False, None), "late": ("erased", True, None), "raced": ("lost-race", False, None), "fresh": ("minted", False, "KeyCreated"), "next": ("minted", False, "KeyRotated")}
 
 
 def test_manifest_conflict_and_snapshot(spark, tmp_path):
