@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import valid_expected
 
-FOLD_ROWS = 100_000  # attempts of one stream that are folded as one array
 MOST_EVENTS = 20
 
 
@@ -29,39 +28,15 @@ def validated(attempts: DataFrame, most: int = MOST_EVENTS) -> DataFrame:
     )
 
 
-def _decide(head: Column, kind: Column, version: Column) -> Column:
-    return F.coalesce((kind == "any") | ((kind == "noStream") & (head < 0)) | ((kind == "version") & (head >= 0) & (head == version)), F.lit(False))
-
-
-def admit(attempts: DataFrame, heads: DataFrame | None = None, fold_rows: int = FOLD_ROWS) -> DataFrame:
+def admit(attempts: DataFrame, heads: DataFrame | None = None) -> DataFrame:
     """stream_id, arrival, attempt_id, ok, base: decisions in order of arrival.
 
-    ``heads`` (stream_id, version) are the streams' present heads.  When no stream has more than
-    ``fold_rows`` attempts they are folded as arrays inside the JVM; otherwise sorted streams pass
-    through Python with one head in memory, so a stream of any length is possible."""
+    ``heads`` (stream_id, version) are the streams' present heads.  Streams pass sorted with one head in
+    memory, so a stream of any length is possible."""
     given = attempts.select("stream_id", "arrival", "attempt_id", "expected_kind", "expected_version", "n_events")
     given = given.join(heads.select("stream_id", F.col("version").alias("head0")), "stream_id", "left") if heads is not None else given.withColumn("head0", F.lit(None).cast("long"))
     given = given.withColumn("head0", F.coalesce("head0", F.lit(-1).cast("long")))
-    most = given.groupBy("stream_id").count().agg(F.max("count")).first()[0] or 0
-    return _by_arrays(given) if most <= fold_rows else by_sorted_streams(given)
-
-
-def _by_arrays(given: DataFrame) -> DataFrame:
-    item = F.struct("arrival", "attempt_id", "expected_kind", "expected_version", F.col("n_events").cast("long").alias("n_events"))
-    streams = given.groupBy("stream_id").agg(F.min("head0").alias("head0"), F.array_sort(F.collect_list(item)).alias("items"))
-    empty = F.array().cast("array<struct<arrival:bigint,attempt_id:bigint,ok:boolean,base:bigint>>")
-
-    def step(state: Column, x: Column) -> Column:
-        head = state["head"]
-        ok = _decide(head, x["expected_kind"], x["expected_version"])
-        done = F.struct(x["arrival"].cast("long").alias("arrival"), x["attempt_id"].cast("long").alias("attempt_id"), ok.alias("ok"), F.when(ok, head + 1).alias("base"))
-        return F.struct(F.when(ok, head + x["n_events"]).otherwise(head).alias("head"), F.concat(state["done"], F.array(done)).alias("done"))
 
-    folded = streams.select("stream_id", F.aggregate("items", F.struct(F.col("head0").alias("head"), empty.alias("done")), step, lambda s: s["done"]).alias("done"))
-    return folded.select("stream_id", F.inline("done"))
-
-
-def by_sorted_streams(given: DataFrame) -> DataFrame:
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         stream, head = None, -1
         for part in batches:
@@ -101,6 +76,29 @@ def idempotent_retry(retries: DataFrame, log: DataFrame) -> DataFrame:
     return met.groupBy("attempt_id").agg(F.bool_and(F.coalesce(F.col("id") == F.col("stored"), F.lit(False))).alias("already_committed"))
 
 
+def idempotent_append(attempts: DataFrame, events: DataFrame, log: DataFrame) -> DataFrame:
+    """``attempts`` (attempt_id, stream_id, arrival, expected_kind, expected_version) with ``events``
+    (attempt_id, pos, id) -> attempt_id, outcome, base, next_expected.
+
+    outcome: refused (no events, an event without id, or ``any``, whose window isn't fixed), appended,
+    alreadyCommitted (the ids stand in the log at exactly the window of the expected version), or
+    conflict.  Refused attempts decide nothing for the others."""
+    per = events.groupBy("attempt_id").agg(F.count("*").alias("n_events"), F.bool_or(F.coalesce(F.col("id"), F.lit("")) == "").alias("unnamed"))
+    given = attempts.join(per, "attempt_id", "left").withColumn("n_events", F.coalesce("n_events", F.lit(0)))
+    fixed = valid_expected(F.col("expected_kind"), F.col("expected_version")) & (F.col("expected_kind") != "any")
+    given = given.withColumn("refused", (F.col("n_events") < 1) | F.coalesce("unnamed", F.lit(False)) | ~fixed)
+    heads = log.groupBy("stream_id").agg(F.max("version").alias("version"))
+    decided = admit(given.where("NOT refused"), heads).select("attempt_id", "ok", F.col("base").alias("placed"))
+    window = F.when(F.col("expected_kind") == "noStream", F.lit(0)).otherwise(F.col("expected_version") + 1)
+    met = given.join(decided, "attempt_id", "left").withColumn("window", window)
+    lost = met.where("NOT ok").select("attempt_id", "stream_id", F.col("window").alias("base"))
+    ours = idempotent_retry(events.join(lost, "attempt_id").select("attempt_id", "stream_id", "base", "pos", "id"), log)
+    met = met.join(ours, "attempt_id", "left")
+    outcome = F.when(F.col("refused"), "refused").when(F.col("ok"), "appended").when(F.col("already_committed"), "alreadyCommitted").otherwise("conflict")
+    base = F.when(F.col("ok"), F.col("placed")).when(F.col("already_committed"), F.col("window"))
+    return met.select("attempt_id", outcome.alias("outcome"), base.cast("long").alias("base"), (base + F.col("n_events") - 1).cast("long").alias("next_expected"))
+
+
 def forward_scan_retry(retries: DataFrame, log: DataFrame) -> DataFrame:
     """``retries`` (attempt_id, stream_id, client_version, id): committed if every id stands anywhere
     above the client's version; for events whose order doesn't matter."""

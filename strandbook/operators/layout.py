@@ -63,6 +63,64 @@ def roll_by_size(commits: DataFrame, size: str, n: int = COMMITS_PER_CHUNK, byte
     return ordered.select(*columns).mapInPandas(fold, f"{fields}, chunk_base long")
 
 
+def roll_by_policy(commits: DataFrame, n: int = COMMITS_PER_CHUNK, byte_cap: int = BYTE_CAP) -> DataFrame:
+    """``commits`` (stream_id, commit_seq, base_version, bytes, create_n, policy_n, create_cap, policy_cap)
+    with chunk_base, n, byte_cap: the policy stamped into the chunk that holds each commit.
+
+    A chunk's policy is chosen when it is minted: what the creating commit asks for (only in an empty
+    stream), else what the resolver says for the stream just then, else that of the chunk before, else
+    the store's default.  The chunk as read decides whether the next commit rolls, by the policy that
+    it carries.  Streams pass sorted; the open chunk of one stream is held."""
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stream, base, count, held, policy = None, 0, 0, 0, (n, byte_cap)
+        for part in batches:
+            out = []
+            rows = part[["stream_id", "base_version", "bytes", "create_n", "policy_n", "create_cap", "policy_cap"]]
+            for s, b, z, *wanted in rows.astype(object).where(rows.notna(), None).itertuples(index=False):
+                create_n, policy_n, create_cap, policy_cap = wanted
+                if s != stream:
+                    stream, base, count, held = s, b, 0, 0
+                    before = (n, byte_cap)
+                    policy = tuple(next(int(x) for x in given if x is not None) for given in ((create_n, policy_n, before[0]), (create_cap, policy_cap, before[1])))
+                elif count >= policy[0] or held >= policy[1]:
+                    base, count, held = b, 0, 0
+                    policy = tuple(int(x) if x is not None else old for x, old in zip((policy_n, policy_cap), policy, strict=True))
+                count, held = count + 1, held + z
+                out.append((base, *policy))
+            chosen = pd.DataFrame(out, columns=["chunk_base", "n", "byte_cap"], dtype="int64")
+            yield pd.concat([part[["stream_id", "commit_seq", "base_version"]].reset_index(drop=True), chosen], axis=1)
+
+    light = commits.select("stream_id", "commit_seq", "base_version", "bytes", "create_n", "policy_n", "create_cap", "policy_cap")
+    ordered = light.repartition("stream_id").sortWithinPartitions("stream_id", "commit_seq")
+    return ordered.mapInPandas(fold, "stream_id string, commit_seq long, base_version long, chunk_base long, n long, byte_cap long")
+
+
+def compaction_outcomes(tail: DataFrame, chunked: DataFrame, listed: DataFrame, n: int) -> DataFrame:
+    """One compaction step of every stream: stream_id, bucket, status.
+
+    ``tail``: commits that are still there (stream_id, base_version); ``chunked`` (stream_id, chunk_base):
+    chunks that exist when the step writes; ``listed``: those that it saw before.  The bucket after the
+    last listed chunk is taken.  compacted: it is sealed and its chunk is written; stood-down: another
+    compactor's chunk is there; nothing-to-do: it isn't sealed.  A sealed bucket without commits and
+    without a chunk is corrupt."""
+    last = listed.groupBy("stream_id").agg((F.max("chunk_base") + n).alias("bucket"))
+    streams = tail.groupBy("stream_id").agg(F.max("base_version").alias("top")).join(last, "stream_id", "left")
+    streams = streams.withColumn("bucket", F.coalesce("bucket", F.lit(0)).cast("long"))
+    there = tail.select("stream_id", bucket_base(F.col("base_version"), n).alias("bucket")).distinct().withColumn("members", F.lit(True))
+    done = chunked.select("stream_id", F.col("chunk_base").alias("bucket")).distinct().withColumn("chunk", F.lit(True))
+    met = streams.join(there, ["stream_id", "bucket"], "left").join(done, ["stream_id", "bucket"], "left")
+    lost = F.raise_error(F.concat(F.lit("sealed bucket without commits in "), F.col("stream_id"))).cast("string")
+    status = F.when(F.col("top") < F.col("bucket") + n, "nothing-to-do").when(F.col("chunk"), "stood-down").when(F.col("members"), "compacted").otherwise(lost)
+    return met.select("stream_id", "bucket", status.alias("status"))
+
+
+def without_sources(tail: DataFrame, outcomes: DataFrame, n: int) -> DataFrame:
+    """``tail`` after a step: the commits of buckets whose chunk exists go, whoever wrote it."""
+    done = outcomes.where("status <> 'nothing-to-do'").select("stream_id", "bucket")
+    return tail.withColumn("bucket", bucket_base(F.col("base_version"), n)).join(done, ["stream_id", "bucket"], "left_anti").drop("bucket")
+
+
 def chunk_pruned(events: DataFrame, chunks: DataFrame, first: int) -> DataFrame:
     """Events from version ``first``, read from the chunk that covers it onward."""
     start = chunks.where(F.col("chunk_base") <= first).groupBy("stream_id").agg(F.max("chunk_base").alias("start"))

@@ -170,6 +170,47 @@ def tail_chunks_bytecap(spark, d):
 SQL["tail_chunks_bytecap"] = sql("", "ce").rstrip() + f", {BYTES} SELECT stream_id, commit_seq, base_version, chunk_base FROM fo"
 
 
+POLICY = "bs AS (SELECT stream_id, commit_seq, base_version, CAST(sum(length(data) * 10) AS BIGINT) AS bytes, CASE WHEN commit_seq = 0 AND length(stream_id) % 2 = 0 THEN 2 WHEN commit_seq = 3 THEN 99 END AS cn, CASE WHEN commit_seq % 7 = 5 THEN 4 END AS pn, CASE WHEN commit_seq % 11 = 6 THEN 300 END AS pc FROM ce GROUP BY ALL), fo AS (SELECT stream_id, commit_seq, base_version AS chunk_base, base_version, 1 AS c, bytes AS held, coalesce(cn, pn, 3) AS n, coalesce(pc, 700) AS cap FROM bs WHERE commit_seq = 0 UNION ALL SELECT b.stream_id, b.commit_seq, CASE WHEN full_ THEN b.base_version ELSE f.chunk_base END, b.base_version, CASE WHEN full_ THEN 1 ELSE f.c + 1 END, CASE WHEN full_ THEN b.bytes ELSE f.held + b.bytes END, CASE WHEN full_ THEN coalesce(pn, n) ELSE n END, CASE WHEN full_ THEN coalesce(pc, cap) ELSE cap END FROM (SELECT *, c >= n OR held >= cap AS full_ FROM fo) f JOIN bs b ON b.stream_id = f.stream_id AND b.commit_seq = f.commit_seq + 1)"
+
+
+@query("SELECT 1", "ce")
+def tail_chunks_mint_policy(spark, d):
+    """Chunk policies: asked for at creation, by the resolver, carried on, or the default."""
+    e = V.commit_events(spark, d)
+    seq, none = F.col("commit_seq"), F.lit(None).cast("long")
+    c = e.groupBy("stream_id", "commit_seq", "base_version").agg(F.sum(F.octet_length("data") * 10).cast("long").alias("bytes"))
+    c = c.withColumns({"create_n": F.when((seq == 0) & (F.length("stream_id") % 2 == 0), 2).when(seq == 3, 99), "policy_n": F.when(seq % 7 == 5, 4), "create_cap": none, "policy_cap": F.when(seq % 11 == 6, 300)})
+    return layout.roll_by_policy(c, 3, 700)
+
+
+SQL["tail_chunks_mint_policy"] = sql("", "ce").rstrip() + f", {POLICY} SELECT stream_id, commit_seq, base_version, chunk_base, CAST(n AS BIGINT) AS n, CAST(cap AS BIGINT) AS byte_cap FROM fo"
+
+
+STEP = "SELECT stream_id, CAST(CASE WHEN length(stream_id) % 2 = 0 THEN 10 ELSE 0 END AS BIGINT) AS bucket, CASE WHEN top < CASE WHEN length(stream_id) % 2 = 0 THEN 20 ELSE 10 END THEN 'nothing-to-do' WHEN top % 3 = 0 THEN 'stood-down' ELSE 'compacted' END AS status FROM (SELECT stream_id, max(base_version) AS top FROM cm GROUP BY stream_id)"
+
+
+def _step(spark, d):
+    """Even streams have the chunk of their first bucket listed; some have got another one since."""
+    commits = _commits(spark, d)
+    top = commits.groupBy("stream_id").agg(F.max("base_version").alias("top"))
+    listed = top.where("length(stream_id) % 2 = 0").select("stream_id", F.lit(0).cast("long").alias("chunk_base"))
+    raced = top.where("top % 3 = 0").select("stream_id", F.when(F.length("stream_id") % 2 == 0, 10).otherwise(0).cast("long").alias("chunk_base"))
+    tail = commits.join(listed.withColumn("gone", F.lit(True)), "stream_id", "left").where("gone IS NULL OR base_version >= 10").drop("gone", "chunk_base")
+    return tail, layout.compaction_outcomes(tail, listed.unionByName(raced), listed, 10)
+
+
+@query(STEP, "cm")
+def compaction_outcomes(spark, d):
+    return _step(spark, d)[1]
+
+
+@query(f"SELECT c.stream_id, c.base_version FROM cm c JOIN ({STEP}) s USING (stream_id) WHERE c.base_version >= CASE WHEN length(c.stream_id) % 2 = 0 THEN 10 ELSE 0 END AND NOT (s.status <> 'nothing-to-do' AND (c.base_version // 10) * 10 = s.bucket)", "cm")
+def compaction_leaves(spark, d):
+    """Commits that are left when the sources of the step's chunks are gone."""
+    tail, outcomes = _step(spark, d)
+    return layout.without_sources(tail, outcomes, 10).select("stream_id", "base_version")
+
+
 @query("SELECT stream_id, version, id FROM ce WHERE version >= 30", "ce")
 def chunk_pruned_replay(spark, d):
     e = V.commit_events(spark, d)
@@ -293,7 +334,12 @@ def admission_outcomes(spark, d):
 
 @query("SELECT stream_id, arrival, attempt_id, ok, base FROM ad", "ad")
 def admission_sorted_streams(spark, d):
-    return admission.admit(V.attempts(spark, d), fold_rows=0)
+    """The same in two steps: the second half of the attempts meets the heads that the first one left."""
+    a = V.attempts(spark, d)
+    first = admission.admit(a.where("arrival <= 10"))
+    done = first.where("ok").join(a.select("attempt_id", "n_events"), "attempt_id")
+    heads = done.groupBy("stream_id").agg(F.max(F.col("base") + F.col("n_events") - 1).alias("version"))
+    return first.unionByName(admission.admit(a.where("arrival > 10"), heads))
 
 
 @query("SELECT stream_id, arrival, attempt_id, ok, base FROM ad", "ad")
@@ -341,6 +387,23 @@ def idempotent_retry(spark, d):
     return admission.idempotent_retry(again, e)
 
 
+AGAIN = """SELECT *, CASE WHEN k = 0 THEN 'refused' WHEN k = 1 THEN 'refused' WHEN k = 2 THEN 'refused' WHEN appended THEN 'appended' WHEN same THEN 'alreadyCommitted' ELSE 'conflict' END AS outcome FROM (
+  SELECT stream_id, base_version, CAST(count(*) AS BIGINT) AS n, base_version % 7 AS k, bool_and(event_id % 5 <> 0) AS same, base_version > top - 0 AS appended
+  FROM (SELECT *, max(base_version) OVER (PARTITION BY stream_id) AS top FROM ce) GROUP BY stream_id, base_version, top)"""
+
+
+@query(f"SELECT base_version || '@' || stream_id AS attempt_id, outcome, CASE WHEN outcome = 'alreadyCommitted' THEN base_version END AS base, CASE WHEN outcome = 'alreadyCommitted' THEN base_version + n - 1 END AS next_expected FROM ({AGAIN})", "ce")
+def idempotent_append(spark, d):
+    """Every commit is tried again: some without events, without ids or for any version, some with other ids."""
+    e = V.commit_events(spark, d)
+    events = e.select(F.concat_ws("@", "base_version", "stream_id").alias("attempt_id"), "base_version", (F.col("version") - F.col("base_version")).alias("pos"), F.when(F.col("base_version") % 7 == 1, None).when(F.col("event_id") % 5 == 0, F.concat(F.lit("x"), "id")).otherwise(F.col("id")).alias("id"))
+    kind = F.when(F.col("base_version") % 7 == 2, "any").when(F.col("base_version") == 0, "noStream").otherwise("version")
+    tries = layout.commit_table(e).select(F.concat_ws("@", "base_version", "stream_id").alias("key"), "stream_id", F.col("commit_seq").alias("arrival"), kind.alias("expected_kind"), (F.col("base_version") - 1).alias("expected_version"))
+    number = F.xxhash64("key")
+    out = admission.idempotent_append(tries.withColumn("attempt_id", number), events.where("base_version % 7 <> 0").withColumn("attempt_id", F.xxhash64("attempt_id")), e)
+    return tries.withColumn("number", number).join(out.withColumnRenamed("attempt_id", "number"), "number").select(F.col("key").alias("attempt_id"), "outcome", "base", "next_expected")
+
+
 @query("SELECT base_version || '@' || stream_id AS attempt_id, min(version) > 9 AS already_committed FROM ce GROUP BY stream_id, base_version", "ce")
 def forward_scan_retry(spark, d):
     e = V.commit_events(spark, d)
@@ -394,7 +457,20 @@ def fold_general(spark, d):
     return transform.fold_in_order(V.stream_events(spark, d), F.expr(CENTS), init, lambda s, x: F.pmod(s * 31 + x, F.lit(1_000_003)))
 
 
-SQL["fold_general"] = sql("", "se").rstrip() + f", fg AS (SELECT stream_id, version, (7 * 31 + {CENTS_SQL}) % 1000003 AS state FROM se WHERE version = 0 UNION ALL SELECT s.stream_id, s.version, (f.state * 31 + {CENTS_SQL}) % 1000003 FROM fg f JOIN se s ON s.stream_id = f.stream_id AND s.version = f.version + 1) SELECT stream_id, max(version) AS version, arg_max(state, version) AS state FROM fg GROUP BY stream_id"
+@query("SELECT 1", "se")
+def fold_long_streams(spark, d):
+    """The same fold over sorted streams, for streams of any length."""
+    return transform.fold_sorted(V.stream_events(spark, d), F.expr(CENTS), 7, lambda s, x: (s * 31 + x) % 1_000_003, "long")
+
+
+@query(f"SELECT h.stream_id, coalesce(max(version), 39) AS version, coalesce(CAST(sum({CENTS_SQL}) AS BIGINT), 0) + 5 AS state FROM hd h LEFT JOIN (SELECT * FROM se WHERE version >= 40) s USING (stream_id) GROUP BY h.stream_id", "se", "hd")
+def fold_empty_ranges(spark, d):
+    """Streams without events from version 40 on give the initial state at version 39."""
+    log = V.stream_events(spark, d)
+    return transform.fold_in_order(log, F.expr(CENTS), F.lit(5).cast("long"), lambda s, x: s + x, 40, replay.heads(log))
+
+
+SQL["fold_general"] = SQL["fold_long_streams"] = sql("", "se").rstrip() + f", fg AS (SELECT stream_id, version, (7 * 31 + {CENTS_SQL}) % 1000003 AS state FROM se WHERE version = 0 UNION ALL SELECT s.stream_id, s.version, (f.state * 31 + {CENTS_SQL}) % 1000003 FROM fg f JOIN se s ON s.stream_id = f.stream_id AND s.version = f.version + 1) SELECT stream_id, max(version) AS version, arg_max(state, version) AS state FROM fg GROUP BY stream_id"
 
 
 # -- encryption ------------------------------------------------------------------------------
@@ -409,7 +485,7 @@ def encrypt_roundtrip_payload(spark, d):
     log = V.stream_events(spark, d).select(*EVENT)
     keys = _stream_keys(log)
     secret = crypto.encrypt_payloads(log, keys)
-    return crypto.decrypt_payloads(secret, keys).select("stream_id", "version", "status", "data")
+    return crypto.decrypt_payloads(secret, keys, compressed=False).select("stream_id", "version", "status", "data")
 
 
 @query("SELECT stream_id, version, 'ok' AS status, data FROM se", "se")
@@ -417,7 +493,7 @@ def encrypt_roundtrip_compressed(spark, d):
     log = V.stream_events(spark, d).select(*EVENT)
     keys = _stream_keys(log)
     secret = crypto.encrypt_payloads(log, keys, compress=True)
-    return crypto.decrypt_payloads(secret, keys, compressed=True).select("stream_id", "version", "status", "data")
+    return crypto.decrypt_payloads(secret, keys).select("stream_id", "version", "status", "data")
 
 
 def _field_keys(log: DataFrame) -> DataFrame:
@@ -425,22 +501,75 @@ def _field_keys(log: DataFrame) -> DataFrame:
     return log.select("subject").distinct().select("subject", F.unhex(F.sha2("subject", 256)).alias("key"))
 
 
-@query("SELECT stream_id, version, text FROM conv", "conv")
-def encrypt_roundtrip_field(spark, d):
+ROLE = crypto.subject_in("role")
+
+
+def _annotated(spark) -> DataFrame:
+    return spark.createDataFrame([("said", ["text"], False), ("structure", None, True)], "type string, fields array<string>, plaintext boolean")
+
+
+def _said(spark, d) -> DataFrame:
+    """Conversations as events whose data is an object with a role, a turn and the text."""
     log = V.conv_events(spark, d)
-    met = log.join(_field_keys(log), "subject")
-    secret = met.withColumn("field", crypto.encrypt_field(F.to_json(F.struct("text")), F.col("key"), F.lit("000000"), F.col("stream_id"), "text"))
-    return secret.select("stream_id", "version", F.get_json_object(crypto.decrypt_field(F.col("field"), F.col("key"), F.col("stream_id"), "text"), "$.text").alias("text"))
+    return log.select("stream_id", "version", F.lit("said").alias("type"), F.to_json(F.struct(F.col("subject").alias("role"), F.col("version").alias("turn"), "text")).alias("data"))
+
+
+def _secret(spark, d) -> tuple[DataFrame, DataFrame]:
+    log = _said(spark, d)
+    keys = _field_keys(V.conv_events(spark, d)).withColumn("key_id", F.lit("000000"))
+    passed = crypto.gated(log, _annotated(spark), ROLE).where("reason IS NULL")
+    return crypto.encrypt_fields(passed, keys), keys.withColumn("status", F.lit("ok"))
+
+
+def _parts(log: DataFrame) -> DataFrame:
+    return log.select("stream_id", "version", *[F.get_json_object("data", f"$.{c}").alias(c) for c in ("role", "turn", "text")])
+
+
+SAID = "SELECT stream_id, version, subject AS role, CAST(version AS VARCHAR) AS turn, {} AS text FROM conv"
+
+
+@query(SAID.format("text"), "conv")
+def encrypt_roundtrip_field(spark, d):
+    secret, keys = _secret(spark, d)
+    return _parts(crypto.decrypt_fields(secret, keys, ROLE))
+
+
+@query("SELECT stream_id, version, subject AS role, true AS hidden, '000000' AS key_id FROM conv", "conv")
+def encrypted_fields_stored(spark, d):
+    """The stored form: other fields stay plain, the event carries the key id."""
+    secret, _ = _secret(spark, d)
+    field = F.get_json_object("data", "$.text")
+    return secret.select("stream_id", "version", F.get_json_object("data", "$.role").alias("role"), crypto.is_field_envelope(field).alias("hidden"), "key_id")
 
 
-@query("SELECT stream_id, version, CASE WHEN subject = 'user' THEN '{\"$shredded\":true}' ELSE text END AS text, subject = 'user' AS shredded FROM conv", "conv")
+@query(SAID.format("CASE WHEN subject = 'user' THEN '{\"$shredded\":true}' ELSE text END"), "conv")
 def field_mask_shredded(spark, d):
-    log = V.conv_events(spark, d)
-    keys = _field_keys(log)
-    secret = log.join(keys, "subject").withColumn("field", crypto.encrypt_field(F.col("text"), F.col("key"), F.lit("000000"), F.col("stream_id"), "text")).drop("key")
-    met = secret.join(keys.where("subject <> 'user'"), "subject", "left")
-    text = crypto.decrypt_field(F.col("field"), F.col("key"), F.col("stream_id"), "text")
-    return met.select("stream_id", "version", text.alias("text"), F.col("key").isNull().alias("shredded"))
+    secret, keys = _secret(spark, d)
+    erased = F.col("subject") == "user"
+    keys = keys.withColumns({"key": F.when(~erased, F.col("key")), "status": F.when(erased, "erased").otherwise("ok")})
+    return _parts(crypto.decrypt_fields(secret, keys, ROLE))
+
+
+@query("SELECT stream_id, version, CASE WHEN version % 3 = 0 AND type = 'click' THEN 'clicked' ELSE type END AS type, CAST(json_extract_string(data, '$.k') AS BIGINT) AS k FROM se WHERE version >= 4", "se")
+def client_read(spark, d):
+    """A third of the events plain, a third one ciphertext, a third with an encrypted field; all read alike."""
+    log = V.stream_events(spark, d).select(*EVENT)
+    keys = _stream_keys(log)
+    plain = log.where("version % 3 = 0").withColumn("key_id", F.lit(None).cast("string"))
+    whole = crypto.encrypt_payloads(log.where("version % 3 = 1"), keys, compress=True)
+    whole = whole.withColumn("data", F.concat(F.lit('"'), "data", F.lit('"')))
+    notes = spark.createDataFrame([(t, ["k"], False) for t in ("click", "view", "purchase", "signup", "error")], "type string, fields array<string>, plaintext boolean")
+    by_stream = keys.withColumnRenamed("stream_id", "subject")
+    owned = log.where("version % 3 = 2").withColumn("data", F.to_json(F.struct(F.col("stream_id").alias("owner"), F.get_json_object("data", "$.k").cast("long").alias("k"))))
+    owner = crypto.subject_in("owner")
+    fields = crypto.encrypt_fields(crypto.gated(owned, notes, owner).where("reason IS NULL"), by_stream)
+    stored = plain.unionByName(whole).unionByName(fields)
+
+    def rename(x: DataFrame) -> DataFrame:
+        return x.withColumn("type", F.when((F.col("version") % 3 == 0) & (F.col("type") == "click"), "clicked").otherwise(F.col("type")))
+
+    read = transform.client_read(stored, keys, by_stream.withColumn("status", F.lit("ok")), owner, [rename], 4)
+    return read.select("stream_id", "version", "type", F.get_json_object("data", "$.k").cast("long").alias("k"))
 
 
 @query("SELECT count(*) AS n, count(*) AS rejected FROM se", "se")
@@ -449,18 +578,32 @@ def transplant_rejected(spark, d):
     log = V.stream_events(spark, d).select(*EVENT)
     keys = _stream_keys(log)
     met = crypto.encrypt_payloads(log, keys).join(keys.select("stream_id", "key"), "stream_id")
-    foreign = crypto.decrypt(F.col("data"), F.col("key"), crypto.payload_aad(F.concat(F.lit("other-"), "stream_id"), F.col("key_id")))
+    foreign = crypto.decrypt(F.col("data"), F.col("key"), crypto.payload_aad(F.concat(F.lit("other-"), "stream_id"), F.col("key_id")), compressed=False)
     return met.agg(F.count("*").alias("n"), F.count(F.when(foreign.isNull(), 1)).alias("rejected"))
 
 
-FLAGS = {"unannotated": "type = 'view'", "no_subject": "user_id % 13 = 0", "no_object": "event_id % 17 = 0", "newline_field": "event_id % 19 = 0", "reserved_shape": "event_id % 23 = 0", "subject_encrypted": "event_id % 29 = 0"}
-REASONS = dict(crypto.GATES)
+BROKEN = """CASE WHEN event_id % 17 = 0 THEN '[1, 2]' WHEN event_id % 19 = 0 THEN '"one text"'
+  WHEN event_id % 13 = 0 THEN '{"note": "a"}' WHEN event_id % 11 = 0 THEN '{"who": "u1", "note": "a", "other": {"$enc": "x"}}'
+  WHEN event_id % 7 = 0 THEN '{"who": "u2", "note": "a", "other": {"$shredded": true}}' WHEN event_id % 5 = 0 THEN '{"who": "u3", "note": {"$enc": "x"}, "other": {"$enc": 5}}'
+  WHEN event_id % 3 = 0 THEN '{"who": "u4", "note": "a", "other": {"$shredded": "true"}}' ELSE '{"who": "u5", "note": null, "deep": {"other": {"$enc": "x"}}}' END"""
+NOTES = [("click", ["note"], False), ("view", None, True), ("purchase", ["note", "who"], False), ("signup", [], False), ("error", ["no\nte"], False)]
+OBJECT = "json_type(data) = 'OBJECT'"
+WHO = "(CASE WHEN json_type(data) = 'OBJECT' THEN json_extract_string(data, '$.who') END)"
+SHAPED = "(json_type(data, '$.other.\"$enc\"') = 'VARCHAR' OR (json_type(data, '$.other.\"$shredded\"') = 'BOOLEAN' AND json_extract_string(data, '$.other.\"$shredded\"') = 'true'))"
 
 
-@query("SELECT event_id, CASE " + " ".join(f"WHEN {c} THEN '{REASONS[k]}'" for k, c in FLAGS.items()) + " END AS reason FROM se", "se")
+@query(
+    f"""SELECT event_id, CASE WHEN type = 'logout' THEN 'unannotated type' WHEN type = 'view' THEN NULL WHEN type = 'signup' THEN 'empty annotation'
+  WHEN {WHO} IS NULL THEN 'no subject' WHEN NOT {OBJECT} THEN 'payload is no object' WHEN type = 'error' THEN 'newline in field name'
+  WHEN {SHAPED} THEN 'reserved shape' WHEN type = 'purchase' THEN 'subject is lost by encryption' END AS reason
+  FROM (SELECT event_id, CASE WHEN event_id % 23 = 0 THEN 'logout' ELSE type END AS type, {BROKEN} AS data FROM se)""",
+    "se",
+)
 def serialization_gate(spark, d):
-    flagged = V.stream_events(spark, d).withColumns({k: F.expr(c) for k, c in FLAGS.items()})
-    return flagged.select("event_id", crypto.reject_reason(list(FLAGS)).alias("reason"))
+    """Payloads, annotations and subjects that break each rule."""
+    notes = spark.createDataFrame(NOTES, "type string, fields array<string>, plaintext boolean")
+    log = V.stream_events(spark, d).select("stream_id", "event_id", F.expr("CASE WHEN event_id % 23 = 0 THEN 'logout' ELSE type END").alias("type"), F.expr(BROKEN).alias("data"))
+    return crypto.gated(log, notes, crypto.subject_in("who")).select("event_id", "reason")
 
 
 @query("SELECT CASE WHEN length(subject) % 3 = 0 THEN 'failed' WHEN generation % 2 = 1 THEN 'alreadyCurrent' ELSE 'rewrapped' END AS status, count(*) AS n FROM kg GROUP BY ALL", "kg")

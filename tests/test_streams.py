@@ -50,13 +50,12 @@ def test_compaction(spark):
     assert sorted(map(tuple, got)) == [(0, 0, 1), (2, 3, 3)]
 
 
-def test_admission_both_ways_and_heads(spark):
+def test_admission_and_heads(spark):
     rows = [("s", 1, 1, "version", 0, 1), ("s", 2, 2, "noStream", None, 2), ("s", 3, 3, "noStream", None, 1), ("s", 4, 4, "version", 1, 1), ("s", 5, 5, "any", None, 3)]
     tries = spark.createDataFrame(rows, "stream_id string, arrival long, attempt_id long, expected_kind string, expected_version long, n_events long")
     want = [(1, False, None), (2, True, 0), (3, False, None), (4, True, 2), (5, True, 3)]
-    for limit in (0, 100):
-        got = admission.admit(tries, fold_rows=limit).orderBy("arrival").collect()
-        assert [(r.attempt_id, r.ok, r.base) for r in got] == want
+    got = admission.admit(tries).orderBy("arrival").collect()
+    assert [(r.attempt_id, r.ok, r.base) for r in got] == want
     heads = spark.createDataFrame([("s", 0)], "stream_id string, version long")
     assert [r.ok for r in admission.admit(tries, heads).orderBy("arrival").collect()] == [True, False, False, True, True]
     assert admission.admit(tries.limit(0)).count() == 0
@@ -131,4 +130,102 @@ def test_manifest_conflict_and_snapshot(spark, tmp_path):
     with pytest.raises(Conflict):
         other.publish(0, other.stage(one))
     assert other.read(schema).count() == 1
-    assert other.vacuum() == 1 and log.read(schema).count() == 1
+    assert other.vacuum() == 0  # the loser's folder is young: it may be published yet
+    assert other.vacuum(0) == 1 and log.read(schema).count() == 1
+    log.publish(1, log.stage(spark.createDataFrame([("s", 1)], schema)))
+    assert log.checkpoint() == 1
+    log.publish(2, log.stage(spark.createDataFrame([("s", 2)], schema)))
+    assert [log.read(schema, v).count() for v in (-1, 0, 1, 2)] == [0, 1, 2, 3] and other.vacuum(0) == 0
+
+
+def test_a_losing_writer_decides_again(spark, tmp_path):
+    schema = "stream_id string, version long"
+    log, other = Log(spark, str(tmp_path / "log")), Log(spark, str(tmp_path / "log"))
+    tries = spark.createDataFrame([("s", 0, 1, "noStream", None, 1), ("t", 0, 2, "noStream", None, 2)], TRIES)
+    raced = []
+
+    def build(decided):
+        if not raced:  # another writer publishes first
+            raced.append(1)
+            other.publish(0, other.stage(spark.createDataFrame([("s", 0)], schema)))
+        n = F.when(F.col("attempt_id") == 2, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+        return decided.where("ok").select("stream_id", F.explode(n).alias("i"), "base").select("stream_id", (F.col("base") + F.col("i")).cast("long").alias("version"))
+
+    decided = {r.stream_id: r.ok for r in log.append(tries, build, schema).collect()}
+    assert decided == {"s": False, "t": True} and log.version() == 1
+    assert sorted(map(tuple, log.read(schema).collect())) == [("s", 0), ("t", 0), ("t", 1)]
+
+
+TRIES = "stream_id string, arrival long, attempt_id long, expected_kind string, expected_version long, n_events long"
+
+
+def test_idempotent_append_outcomes(spark):
+    log = spark.createDataFrame([("s", 0, "a"), ("s", 1, "b"), ("s", 2, "c")], "stream_id string, version long, id string")
+    tries = [(1, "s", 1, "version", 2), (2, "s", 2, "version", 0), (3, "s", 3, "version", 0), (4, "s", 4, "any", None), (5, "s", 5, "version", 2), (6, "s", 6, "version", 2), (7, "new", 1, "noStream", None), (8, "s", 7, "noStream", None), (9, "s", 8, "version", 1)]
+    events = [(1, 0, "d"), (1, 1, "e"), (2, 0, "b"), (2, 1, "c"), (3, 0, "c"), (3, 1, "b"), (4, 0, "x"), (5, 0, None), (7, 0, "n"), (8, 0, "a"), (9, 0, "c"), (9, 1, "z")]
+    got = admission.idempotent_append(spark.createDataFrame(tries, "attempt_id long, stream_id string, arrival long, expected_kind string, expected_version long"), spark.createDataFrame(events, "attempt_id long, pos long, id string"), log)
+    assert {r.attempt_id: (r.outcome, r.base, r.next_expected) for r in got.collect()} == {
+        1: ("appended", 3, 4), 2: ("alreadyCommitted", 1, 2), 3: ("conflict", None, None), 4: ("refused", None, None), 5: ("refused", None, None),
+        6: ("refused", None, None), 7: ("appended", 0, 0), 8: ("alreadyCommitted", 0, 0), 9: ("conflict", None, None),
+    }
+
+
+def test_known_ciphertext_and_header(spark):
+    """A payload made by another implementation with a fixed nonce opens; the header tells how."""
+    import base64
+    import gzip
+    import json
+
+    jvm, key, nonce = spark._jvm, bytes(range(32)), bytes(range(12))
+
+    def sealed(plain: bytes, aad: str) -> str:
+        cipher = jvm.javax.crypto.Cipher.getInstance("AES/GCM/NoPadding")
+        cipher.init(1, jvm.javax.crypto.spec.SecretKeySpec(bytearray(key), "AES"), jvm.javax.crypto.spec.GCMParameterSpec(128, bytearray(nonce)))
+        cipher.updateAAD(bytearray(aad.encode()))
+        return base64.b64encode(nonce + bytes(cipher.doFinal(bytearray(plain)))).decode()
+
+    text = json.dumps({"a": "é" * 100})
+    rows = [("s", sealed(b"\x00" + text.encode(), "s\n000000"), bytearray(key)), ("s", sealed(b"\x01" + gzip.compress(text.encode()), "s\n000000"), bytearray(key)), ("s", sealed(b"\x02" + text.encode(), "s\n000000"), bytearray(key))]
+    df = spark.createDataFrame(rows, "stream_id string, data string, key binary")
+    aad = crypto.payload_aad(F.col("stream_id"), F.lit("000000"))
+    assert [r[0] for r in df.select(crypto.decrypt(F.col("data"), F.col("key"), aad)).collect()] == [text, text, None]
+    with pytest.raises(Exception, match="none was announced"):
+        df.select(crypto.decrypt(F.col("data"), F.col("key"), aad, compressed=False)).collect()
+
+
+def test_markers_are_told_by_type(spark):
+    fields = ['{"$enc":"x"}', '{"$enc":5}', '{"$enc":null}', '{"$shredded":true}', '{"$shredded":"true"}', '{"$shredded":false}', '"$enc"', "[1]", "broken", None]
+    df = spark.createDataFrame([(i, f) for i, f in enumerate(fields)], "i int, f string")
+    got = df.orderBy("i").select(F.coalesce(crypto.is_field_envelope(F.col("f")), F.lit(False)), F.coalesce(crypto.is_shredded_field(F.col("f")), F.lit(False))).collect()
+    assert [i for i, r in enumerate(got) if r[0]] == [0] and [i for i, r in enumerate(got) if r[1]] == [3]
+
+
+def test_fields_of_one_event(spark):
+    notes = spark.createDataFrame([("T", ["a", "absent"], False), ("P", None, True)], "type string, fields array<string>, plaintext boolean")
+    events = spark.createDataFrame([("s", 0, "T", '{"who":"u","a":[1,{"b":null}],"z":1.5}'), ("s", 1, "P", '{"a":1}'), ("$sys", 0, "X", '"open"')], "stream_id string, version long, type string, data string")
+    keys = spark.createDataFrame([("u", "000002", bytearray(range(32)))], "subject string, key_id string, key binary")
+    who = crypto.subject_in("who")
+    stored = crypto.encrypt_fields(crypto.gated(events, notes, who).where("reason IS NULL"), keys)
+    got = {(r.stream_id, r.version): r for r in stored.collect()}
+    assert got["s", 1].data == '{"a":1}' and got["s", 1].key_id is None and got["$sys", 0].data == '"open"'
+    assert '"who":"u"' in got["s", 0].data and '"z":1.5' in got["s", 0].data and '"keyId"' not in got["s", 0].data and got["s", 0].key_id == "000002"
+    back = {(r.stream_id, r.version): r.data for r in crypto.decrypt_fields(stored, keys.withColumn("status", F.lit("ok")), who).collect()}
+    assert back["s", 0] == '{"who":"u","a":[1,{"b":null}],"z":1.5}'
+    gone = keys.withColumn("key", F.lit(None).cast("binary")).withColumn("status", F.lit("erased"))
+    assert '"a":{"$shredded":true}' in {r.version: r.data for r in crypto.decrypt_fields(stored.where("stream_id = 's'"), gone, who).collect()}[0]
+    with pytest.raises(Exception, match="never minted"):
+        crypto.decrypt_fields(stored, gone.limit(0), who).collect()
+    with pytest.raises(Exception, match="erased"):
+        crypto.encrypt_fields(crypto.gated(events, notes, who).where("reason IS NULL"), keys.limit(0)).collect()
+
+
+def test_compaction_outcomes(spark):
+    tail = spark.createDataFrame([("a", i) for i in range(8)] + [("b", i) for i in range(3, 6)] + [("c", 0)], "stream_id string, base_version long")
+    listed = spark.createDataFrame([("b", 0)], "stream_id string, chunk_base long")
+    raced = listed.unionByName(spark.createDataFrame([("a", 0)], "stream_id string, chunk_base long"))
+    got = layout.compaction_outcomes(tail, raced, listed, 3)
+    assert {r.stream_id: (r.bucket, r.status) for r in got.collect()} == {"a": (0, "stood-down"), "b": (3, "nothing-to-do"), "c": (0, "nothing-to-do")}
+    assert sorted(map(tuple, layout.without_sources(tail, got, 3).where("stream_id = 'a'").collect())) == [("a", i) for i in range(3, 8)]
+    gap = spark.createDataFrame([("a", 7)], "stream_id string, base_version long")
+    with pytest.raises(Exception, match="without commits"):
+        layout.compaction_outcomes(gap, listed.limit(0), listed.limit(0), 3).collect()
