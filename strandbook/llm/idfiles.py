@@ -5,7 +5,8 @@ A file set is a folder with two Parquet tables, so that any store that Spark rea
 ``dictionary``  one row: the dictionary trained on serialised id arrays, and its SHA-256.
 ``segments``    one row for about a megabyte of documents in ascending doc_id: ``number`` and
                 ``part`` (order of segments), ``first_doc``/``last_doc``, the dictionary's hash, the
-                number of ids before the segment in its part, and two binary columns:
+                number of ids before the segment in its part, how many of its first documents have no doc_id, and
+                two binary columns:
 
 * ``frames``: one zstandard frame for each document, one after the other; a frame holds the
   document's ids as little-endian unsigned 16-bit (vocabulary under 65,536) or 32-bit integers;
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import partitions, shared_dir, table
+from .common import few_ids, partitions, parts_of, shared_dir, table
 from .tokens import Encoder, vocabulary
 
 END_ID = 2
@@ -36,7 +37,7 @@ DICTIONARY_BYTES = 65_536
 SEGMENT_BYTES = 1 << 20
 LEVEL = 3
 
-SEGMENT = "part int, number int, first_doc long, last_doc long, dictionary_sha256 string, ids_before long, n_ids long, width int, offsets binary, frames binary"
+SEGMENT = "part int, number int, first_doc long, last_doc long, dictionary_sha256 string, ids_before long, n_ids long, width int, without int, offsets binary, frames binary"
 
 
 def serialise(ids: np.ndarray, width: int) -> bytes:
@@ -78,23 +79,24 @@ def _segments(path: str, end_id: int, dictionary: bytes, sha: str):
         encoder, part = Encoder.of(path), TaskContext.get().partitionId()
         width = 2 if len(encoder.ends) < 65_536 else 4
         press = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(dictionary), write_checksum=False)
-        number, before, index, frames, size, inside = 0, 0, [], [], 0, 0
+        number, before, index, frames, size, inside, without = 0, 0, [], [], 0, 0, 0
 
         def closed() -> pa.RecordBatch:
             offsets = np.array(index, dtype="<i8")
-            row = [part, number, index[0][0], index[-1][0], sha, before, inside, width, offsets.tobytes(), b"".join(frames)]
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+            row = [part, number, index[0][0], index[-1][0], sha, before, inside, width, without, offsets.tobytes(), b"".join(frames)]
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=[c.split()[0] for c in SEGMENT.split(", ")])
 
-        for batch in batches:
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
+        for part_of_batch in (p for batch in batches for p in parts_of(batch, 1)):
+            for doc_id, ids in zip(part_of_batch.column(0).to_pylist(), encoder.encode([t or "" for t in part_of_batch.column(1).to_pylist()]), strict=True):
                 frame = press.compress(serialise(np.append(ids, np.uint32(end_id)), width))
                 frames.append(frame)
                 size, inside = size + len(frame), inside + len(ids) + 1
-                index.append((doc_id, size, inside))
+                without += doc_id is None
+                index.append((0 if doc_id is None else doc_id, size, inside))
                 if size >= SEGMENT_BYTES:
                     yield closed()
-                    number, before, index, frames, size, inside = number + 1, before + inside, [], [], 0, 0
+                    number, before, index, frames, size, inside, without = number + 1, before + inside, [], [], 0, 0, 0
         if index:
             yield closed()
 
@@ -104,17 +106,22 @@ def _segments(path: str, end_id: int, dictionary: bytes, sha: str):
 def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = END_ID) -> str:
     """Writes ``docs`` (doc_id, text) as a file set in ascending doc_id order; gives the folder.
 
-    Null texts are empty.  Rows of equal doc_id follow each other in the order of their texts; rows
-    without doc_id are not documents and are left out.  Other columns are ignored."""
+    Null texts are empty.  Rows without doc_id come first.  Rows of equal doc_id follow each other in the
+    order of a hash of their texts, by which a frequent id is spread over tasks.  Other columns are
+    ignored; an empty table gives a file set without segments.
+
+    The dictionary is trained on the least texts of at most SAMPLE_DOCS documents."""
     spark = docs.sparkSession
     path = tokenizer or vocabulary()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
-    few = texts.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
-    sample = texts.join(F.broadcast(few.distinct()), "doc_id", "left_semi").select("text").mapInArrow(_encode(path, end_id), "ids binary")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    few = few_ids(texts.where("doc_id IS NOT NULL").select("doc_id"), SAMPLE_DOCS)
+    least = texts.join(F.broadcast(few), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    sample = least.select("text").mapInArrow(_encode(path, end_id), "ids binary")
     content = train(sorted(bytes(r["ids"]) for r in sample.collect()))
     sha = hashlib.sha256(content).hexdigest()
     spark.createDataFrame([(bytearray(content), sha)], "content binary, dictionary_sha256 string").coalesce(1).write.parquet(f"{folder}/dictionary")
-    ordered = texts.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    keyed = texts.withColumn("order", F.xxhash64("text"))
+    ordered = keyed.repartitionByRange(partitions(spark), "doc_id", "order").sortWithinPartitions("doc_id", "order", "text").select("doc_id", "text")
     ordered.mapInArrow(_segments(path, end_id, content, sha), SEGMENT).write.option("compression", "none").parquet(f"{folder}/segments")
     return folder
 
@@ -150,12 +157,16 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                     at, before = end, upto
                 start = row["part_start"] + row["ids_before"] + np.concatenate([[0], index[:-1, 2]])
                 n = np.diff(index[:, 2], prepend=0)
-                yield pa.RecordBatch.from_arrays([pa.array(index[:, 0]), pa.array(start), pa.array(n), pa.array(out, pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
+                named = pa.array(index[:, 0], mask=np.arange(len(index)) < row["without"])
+                yield pa.RecordBatch.from_arrays([named, pa.array(start), pa.array(n), pa.array(out, pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
 
     return segments.join(parts, "part").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def op9_dictionary_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document of ``documents`` as read back from files written in the shared folder.
+
+    Null and empty texts have the end id alone; an empty table gives no rows."""
     folder = write(table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/id-files-{uuid.uuid4().hex}")
     rows = read(spark, folder)
     return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
