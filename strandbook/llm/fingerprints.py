@@ -23,6 +23,8 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -168,9 +170,16 @@ def fingerprints(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     found = texts.select(F.min(at).alias("low"), F.percentile_approx(at, [i / n for i in range(1, n)] or [0.5], 10_000).alias("cuts")).first()
     if found["low"] is None:
         return spark.createDataFrame([], OUT)
-    starts = sorted({found["low"], *found["cuts"]})  # n at most
-    span = _span(at, starts, 0, len(starts))
-    begins = at.isin(starts)
+    starts = np.array(sorted({found["low"], *found["cuts"]}), dtype=np.int64)  # as many as partitions at most
+
+    @F.pandas_udf("struct<span: int, begins: boolean>")
+    def placed(ids: pd.Series) -> pd.DataFrame:
+        x = ids.to_numpy()
+        span = np.searchsorted(starts, x, side="right") - 1
+        return pd.DataFrame({"span": span.astype(np.int32), "begins": starts[span] == x})
+
+    texts = texts.withColumn("at", placed(at))
+    span, begins = F.col("at.span"), F.col("at.begins")
     before = F.pmod(span - 1, F.lit(len(starts)))
     dealt = texts.withColumn("to", F.when(begins, F.array(F.struct(span.alias("span"), F.lit(False).alias("ahead")), F.struct(before.alias("span"), F.lit(True).alias("ahead")))).otherwise(F.array(F.struct(span.alias("span"), F.lit(False).alias("ahead")))))
     dealt = dealt.select(F.explode("to").alias("to"), "doc_id", "text").select("to.span", "to.ahead", "doc_id", "text")
@@ -178,13 +187,8 @@ def fingerprints(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     return ordered.mapInArrow(_rows, OUT)
 
 
-def _span(at, starts: list[int], lo: int, hi: int):
-    """Number of the range that holds ``at``, by halving."""
-    if hi - lo == 1:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    return F.when(at < starts[mid], _span(at, starts, lo, mid)).otherwise(_span(at, starts, mid, hi))
-
-
 def op1_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document of ``documents`` with its fingerprint, that of its edited text, and likenesses.
+
+    Null texts are empty, an empty text has a root alone, and an empty table gives no rows."""
     return fingerprints(table(spark, sf_dir, "documents"))
