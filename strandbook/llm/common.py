@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -17,10 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where it is unset, as in a local test, a temporary folder takes its place."""
+    Only where it is unset, in a local test, a temporary folder takes its place; on a cluster its
+    executors would not see that folder, so there the setting is required."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not current.isDefined() and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="strandbook-")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(found)
@@ -48,6 +52,19 @@ def few_ids(ids: DataFrame, bound: int) -> DataFrame:
     return ids.where(key <= (int(share * (1 << 53)) << 10) - 1).distinct().orderBy(key, "doc_id").limit(bound)
 
 
+def few_by(rows: DataFrame, group: str, bound: int) -> DataFrame:
+    """At most ``bound`` doc_ids of ``rows`` (doc_id, group), drawn by hash: an equal share of each group.
+
+    Groups are few (labels).  Only hashes below a limit of each group are ranked."""
+    counts = rows.groupBy(group).count()
+    share = max(1, bound // max(1, counts.count()))
+    key = F.shiftrightunsigned(F.xxhash64("doc_id"), 1)
+    least = (F.least(F.lit(1.0), 2 * share / F.col("count")) * float((1 << 63) - 1024)).cast("long")
+    drawn = rows.join(F.broadcast(counts.select(group, least.alias("least"))), group).where(key <= F.col("least")).select("doc_id", group).distinct()
+    ranked = drawn.withColumn("n", F.row_number().over(W.partitionBy(group).orderBy(key, "doc_id"))).where(F.col("n") <= share)
+    return ranked.select("doc_id").distinct()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

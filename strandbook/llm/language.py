@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytecnn import ByteCNN, softmax
-from .common import few_ids, held_out, table
+from .common import few_by, held_out, parts_of, table
 
 WINDOW = 256
 SAMPLE_DOCS = 2_000  # bound of the labelled rows that the classifier learns from
@@ -65,11 +65,12 @@ def train(samples: list[tuple[str, list[bytes]]], seed: int = 0) -> tuple[ByteCN
 
 
 def fit(docs: DataFrame) -> tuple[ByteCNN, list[str]] | None:
-    """Learns from text and lang of at most SAMPLE_DOCS documents that are not held out.
+    """Learns from text and lang of at most SAMPLE_DOCS documents that are not held out, as many of each
+    language as there are, up to its equal share, so a rare language is learned too.
 
     A repeated doc_id is learned once, with the least of its languages and texts."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    few = few_ids(known.select("doc_id"), SAMPLE_DOCS)
+    few = few_by(known.select("doc_id", "lang"), "lang", SAMPLE_DOCS)
     each = known.join(F.broadcast(few), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("least"))
     sample = each.select("doc_id", "least.lang", F.encode("least.text", "UTF-8").alias("bytes"))
     step = F.greatest(F.length("bytes") - WINDOW, F.lit(0)) / F.lit(max(1, SAMPLE_WINDOWS - 1))
@@ -82,7 +83,7 @@ def fit(docs: DataFrame) -> tuple[ByteCNN, list[str]] | None:
 def identify(docs: DataFrame, model: tuple[ByteCNN, list[str]] | None) -> DataFrame:
     """``docs`` with lang_pred and score for every row; columns of these names are replaced.
 
-    ``und`` with score 0 for a null text, a text without letters, or where there was nothing to
+    Texts of any length are read whole, a bounded number of bytes at a time.  ``und`` with score 0 for a null text, a text without letters, or where there was nothing to
     learn from."""
     docs = docs.drop("lang_pred", "score")
     names = docs.columns
@@ -90,8 +91,7 @@ def identify(docs: DataFrame, model: tuple[ByteCNN, list[str]] | None) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
+            for part in parts_of(batch, at):
                 texts = part.column(at).to_pylist()
                 able = [i for i, t in enumerate(texts) if model and t and LETTER.search(t)]
                 lang, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
@@ -109,6 +109,10 @@ def identify(docs: DataFrame, model: tuple[ByteCNN, list[str]] | None) -> DataFr
 
 
 def op4_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicted language of every document of ``documents``.
+
+    ``und`` for null texts and texts without letters; repeated rows get equal predictions; an empty
+    table gives no rows."""
     docs = table(spark, sf_dir, "documents")
     named = identify(docs.select("doc_id", "text"), fit(docs))
     return named.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

@@ -231,4 +231,8 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, hashes: int = HASH
 
 
 def op2_multiprobe_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every vector of ``embeddings`` whose vec_id is divisible by 20.
+
+    Null, zero and non-finite vectors take no part; ties go to the smaller vec_id; an empty table gives
+    no rows."""
     return nearest(table(spark, sf_dir, "embeddings"))

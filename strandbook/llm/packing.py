@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, parts_of, table
 from .tokens import Encoder, vocabulary
 
 CAPACITY = 2048
@@ -149,7 +149,7 @@ def _pieces(path: str, capacity: int, end_id: int):
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = Encoder.of(path), TaskContext.get().partitionId()
         count: dict[int, int] = {}
-        for batch in batches:
+        for batch in (p for b in batches for p in parts_of(b, 1)):
             doc_ids = batch.column(0).to_pylist()
             rows = []
             for doc_id, ids in zip(doc_ids, encoder.encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
@@ -194,7 +194,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
 def _pieces_in_order(path: str, capacity: int, end_id: int, range_rows: int):
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(path)
-        for batch in batches:
+        for batch in (p for b in batches for p in parts_of(b, 1)):
             rows = []
             for doc_id, position, ids in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), encoder.encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")
@@ -237,4 +237,8 @@ def pack_in_order(docs: DataFrame, tokenizer: str | None = None, capacity: int =
 
 
 def op6_large_item_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every document of ``documents`` and their places in sequences.
+
+    Null and empty texts are one piece of the end id alone; repeated rows are packed each for itself;
+    an empty table gives no rows."""
     return pack(table(spark, sf_dir, "documents"))

@@ -14,13 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytecnn import ByteCNN
-from .common import few_ids, held_out, table
+from .common import few_ids, held_out, parts_of, table
 
 CHUNK, OVERLAP = 512, 64
 THRESHOLD = 0.7
 SAMPLE_DOCS = 3_000  # bound of the labelled rows that the classifier learns from
 SAMPLE_CHUNKS = 6  # chunks of each of them, spread over the text
 EPOCHS, BATCH, RATE = 6, 32, 0.01
+STEPS = 400  # steps of training at least, so a small sample is gone over more often
 
 
 def chunks(text: bytes) -> np.ndarray:
@@ -45,7 +46,8 @@ def train(samples: list[tuple[int, np.ndarray]], seed: int = 0) -> ByteCNN:
     """(label, chunks) of each document -> network."""
     net = ByteCNN(1, head_inputs=2, seed=seed)
     rng, state = np.random.default_rng(seed), {}
-    for epoch in range(EPOCHS):
+    epochs = max(EPOCHS, -(-STEPS // -(-len(samples) // BATCH)))
+    for epoch in range(epochs):
         order = rng.permutation(len(samples))
         for lo in range(0, len(order), BATCH):
             part = [samples[i] for i in order[lo : lo + BATCH]]
@@ -64,7 +66,7 @@ def train(samples: list[tuple[int, np.ndarray]], seed: int = 0) -> ByteCNN:
             top &= lead - before[doc] == 1
             dz = top * dh[doc, :n] + (dh[:, n:] / count[:, None])[doc]
             g = net.gradients(x, z, where, dz)
-            net.adam(g | {"head": h.T @ d, "out": d.sum(0)}, state, RATE / (1 + 0.5 * epoch))
+            net.adam(g | {"head": h.T @ d, "out": d.sum(0)}, state, RATE / (1 + 0.5 * epoch * EPOCHS / epochs))
     return net
 
 
@@ -90,8 +92,7 @@ def score(docs: DataFrame, net: ByteCNN | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
+            for part in parts_of(batch, 1):
                 if net is None:
                     found = np.full(part.num_rows, 0.5)
                 else:
@@ -104,6 +105,9 @@ def score(docs: DataFrame, net: ByteCNN | None) -> DataFrame:
 
 
 def op8_byte_cnn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every document of ``documents``.
+
+    Null texts are scored as empty ones; repeated rows get equal scores; an empty table gives no rows."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     scored = score(docs, fit(docs, labels))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
