@@ -7,9 +7,10 @@ then less than one block away from its weight times the length of the prefix.
 
 Weights are taken as exact fractions over all blocks, not as slots of a period.  When lanes run out,
 the remaining ones share the slots by their weights, and what they are ahead or behind is carried
-on; no document is dropped or repeated.  The order of the blocks is one serial pass in the driver
-over (lane, block) numbers, one for every ``block_rows`` documents, with a state of one entry for each
-lane; all else is done on DataFrames.
+on; no document is dropped or repeated.  Earliest deadline first is serial, so the order of the blocks
+is one pass in the driver over (lane, block) numbers, with a state of one entry for each lane.  It is
+kept short by the size of the blocks: ``block_rows`` documents, or more in a corpus that would have
+more than about MOST_BLOCKS of them; all else is done on DataFrames.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 from .common import shared_dir, table
 
 BLOCK_ROWS = 8
+MOST_BLOCKS = 1 << 21  # about as many blocks are scheduled at most; larger corpora have larger blocks
 FLATTEN = 0.7  # default target: share of the corpus to this power, which lifts small sources
 CHUNK_SLOTS = 250_000  # slots of the schedule that the driver holds
 BROADCAST_LANES = 200_000  # names of lanes that go to every task; more are joined by shuffling
@@ -123,7 +125,7 @@ def written(spark: SparkSession, rows: Iterator[tuple[int, int, int, int, int]])
     return spark.read.parquet(at)
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = BLOCK_ROWS, flatten: float = FLATTEN) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = BLOCK_ROWS, flatten: float = FLATTEN, most_blocks: int = MOST_BLOCKS) -> DataFrame:
     """Adds lane_weight (the target's share of all targets), block, release, deadline, slot and position
     to every row of ``docs``.
 
@@ -135,6 +137,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: in
     spark = docs.sparkSession
     new = ["lane", "lane_weight", "block", "release", "deadline", "slot", "position"]
     docs = docs.drop(*new)
+    columns = docs.columns
     name = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
     sizes = docs.groupBy(name.alias("name")).count()
     rows, names = {}, {}
@@ -143,6 +146,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: in
     total = sum(rows.values())
     if not total:
         return docs.selectExpr("*", "cast(null as double) lane_weight", *[f"cast(null as bigint) {c}" for c in new[2:]])
+    block_rows = max(block_rows, -(-total // most_blocks))
     if weights is None:
         target = {i: (n / total) ** flatten for i, n in rows.items()}
     else:
@@ -154,7 +158,9 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: in
     lanes = spark.createDataFrame(pa.table({"name": pa.array(list(names.values()), pa.string()), "lane": pa.array(list(names), pa.int64()), "lane_weight": pa.array([share[i] / whole for i in names], pa.float64())}))
 
     salts = max(1, math.ceil(total / RANK_ROWS))
-    keyed = docs.withColumn("name", name).join(F.broadcast(lanes) if len(names) <= BROADCAST_LANES else lanes, "name").drop("name")
+    # the user's columns stand in one struct, so none of them can clash with those made here
+    docs = docs.select(name.alias("name"), F.col("doc_id").alias("doc_id"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
+    keyed = docs.join(F.broadcast(lanes) if len(names) <= BROADCAST_LANES else lanes, "name").drop("name")
     keyed = keyed.withColumn("order", F.xxhash64("doc_id", F.lit(10))).withColumn("salt", (F.shiftrightunsigned("order", 33) * salts / F.lit(1 << 31)).cast("int"))
     ahead = W.partitionBy("lane").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)
     before = keyed.groupBy("lane", "salt").count().select("lane", "salt", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("before"))
@@ -163,7 +169,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: in
     ranked = ranked.withColumn("rank", F.col("rank") + F.col("before")).withColumn("block", F.expr(f"rank div {block_rows}"))
     placed = ranked.join(slots, ["lane", "block"])
     return placed.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
+        *[F.col(f"row.`{c}`").alias(c) for c in columns],
         "lane_weight",
         "block",
         "release",
@@ -173,11 +179,10 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: in
     )
 
 
-def in_order(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """The mix written out in its order: ascending ranges of position, each sorted."""
-    return mixed.repartitionByRange("position").sortWithinPartitions("position").select(*[F.col(f"`{c}`") for c in columns])
-
-
 def op10_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document of ``documents`` with its place in the mix.
+
+    Null sources are a source of their own, repeated rows have places of their own, and an empty table
+    gives no rows."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
     return mix(docs)
