@@ -48,6 +48,20 @@ def head_path(prefix: str, stream_id: Column) -> Column:
     return F.concat(stream_path(prefix, stream_id), F.lit("/head.json"))
 
 
+def generation_path(subject: Column, generation: Column) -> Column:
+    return F.concat(F.lit("keys/"), subject, F.lit("/"), generation_id(generation), F.lit(".json"))
+
+
+def tombstone_path(subject: Column) -> Column:
+    return F.concat(F.lit("tombstones/"), subject, F.lit(".json"))
+
+
+def key_of(path: Column) -> Column:
+    """Struct (subject, key_id) of a key's path, null for any other path."""
+    whole = r"^keys/(.+)/([0-9]{6})\.json$"
+    return F.when(path.rlike(whole), F.struct(F.regexp_extract(path, whole, 1).alias("subject"), F.regexp_extract(path, whole, 2).alias("key_id")))
+
+
 def base_of(path: Column) -> Column:
     """The version in the last part of a commit's or chunk's path; null for any other path."""
     digits = F.regexp_extract(path, r"(?:^|/)([0-9]{12})\.json$", 1)

@@ -223,10 +223,15 @@ def unwrap(wrapped: Column, master: Column, subject: Column, key_id: Column) ->
 
 
 def rewrap(keys: DataFrame) -> DataFrame:
-    """``keys`` (subject, key_id, wrapped, old_master, new_master) with status (rewrapped,
-    alreadyCurrent, failed) and the wrapped form to keep."""
+    """``keys`` (subject, key_id, wrapped, old_master, new_master; moved, if there is such a column) with
+    status and the wrapped form to keep.
+
+    status: rewrapped, alreadyCurrent (an earlier run did it), skipped (the object is gone, wrapped is
+    null, or it was moved under the writer: never written again blindly), failed (neither master opens
+    it, or its path, and so subject and key_id, is no key's)."""
+    moved = F.coalesce("moved", F.lit(False)) if "moved" in keys.columns else F.lit(False)
     ids = (F.col("subject"), F.col("key_id"))
     opened = keys.withColumn("by_old", unwrap(F.col("wrapped"), F.col("old_master"), *ids)).withColumn("by_new", unwrap(F.col("wrapped"), F.col("new_master"), *ids))
-    status = F.when(F.col("by_old").isNotNull(), "rewrapped").when(F.col("by_new").isNotNull(), "alreadyCurrent").otherwise("failed")
-    fresh = F.when(F.col("by_old").isNotNull(), wrap(F.col("by_old"), F.col("new_master"), *ids)).otherwise(F.col("wrapped"))
+    status = F.when(F.col("wrapped").isNull(), "skipped").when(F.col("subject").isNull(), "failed").when(F.col("by_old").isNotNull() & moved, "skipped").when(F.col("by_old").isNotNull(), "rewrapped").when(F.col("by_new").isNotNull(), "alreadyCurrent").otherwise("failed")
+    fresh = F.when(F.col("status") == "rewrapped", wrap(F.col("by_old"), F.col("new_master"), *ids)).otherwise(F.col("wrapped"))
     return opened.withColumn("status", status).withColumn("wrapped", fresh).drop("by_old", "by_new")

@@ -62,4 +62,10 @@ def page_documents(log: DataFrame, size: int, base: str, event: list[str]) -> Da
     at = (F.col("version") - F.pmod("version", F.lit(size))).alias("page_from")
     bodies = log.groupBy("stream_id", at).agg(F.array_sort(F.collect_list(F.struct("version", *[c for c in event if c != "version"]))).alias("events"))
     shaped = wire(pages(log, size), base)
-    return shaped.join(bodies, ["stream_id", "page_from"]).select("stream_id", "page_from", F.to_json(F.struct(F.col("page_from").alias("from"), F.col("page_to").alias("to"), "complete", "events", "next", "prev"), {"ignoreNullFields": "false"}).alias("body"))
+    return shaped.join(bodies, ["stream_id", "page_from"]).select("stream_id", "page_from", F.to_json(F.struct(F.col("stream_id").alias("streamId"), F.col("page_from").alias("from"), F.col("page_to").alias("to"), "complete", "events", "next", "prev"), {"ignoreNullFields": "false"}).alias("body"))
+
+
+def head_documents(resources: DataFrame, base: str) -> DataFrame:
+    """stream_id, body: the JSON document of each head resource (``replay.head_resource``)."""
+    link = href(base, F.col("stream_id"), F.col("head"))
+    return resources.select("stream_id", F.to_json(F.struct(F.col("stream_id").alias("streamId"), "version", link.alias("head"), "etag"), {"ignoreNullFields": "false"}).alias("body"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -17,10 +18,13 @@ def duplicate_ids(log: DataFrame) -> DataFrame:
 
 
 def outcomes(attempts: DataFrame, log: DataFrame) -> DataFrame:
-    """``attempts`` (attempt_id, stream_id, id, outcome) with a row for each event -> verdict of each
-    attempt: committed events are there, rejected ones are not, in-doubt ones all or none."""
-    met = attempts.join(log.select("stream_id", "id").distinct().withColumn("there", F.lit(1)), ["stream_id", "id"], "left")
-    per = met.groupBy("attempt_id", "outcome").agg(F.count("*").alias("n"), F.count("there").alias("there"))
+    """``attempts`` (attempt_id, stream_id, id, outcome) with a row for each event, ids used once -> verdict of
+    each attempt: committed events are there, rejected ones are not, in-doubt ones all or none."""
+    # one grouping of both tables by event instead of a distinct log and a join; an event is offered once
+    asked = attempts.select("stream_id", "id", F.struct("attempt_id", "outcome").alias("asked"))
+    both = asked.withColumn("stored", F.lit(0)).unionByName(log.select("stream_id", "id", F.lit(None).cast(asked.schema["asked"].dataType).alias("asked"), F.lit(1).alias("stored")))
+    events = both.groupBy("stream_id", "id").agg(F.max("asked").alias("asked"), F.max("stored").alias("there")).where("asked IS NOT NULL")
+    per = events.groupBy("asked.attempt_id", "asked.outcome").agg(F.count("*").alias("n"), F.sum("there").alias("there"))
     verdict = (
         F.when((F.col("outcome") == "committed") & (F.col("there") < F.col("n")), "missing")
         .when((F.col("outcome") == "rejected") & (F.col("there") > 0), "phantom")
@@ -37,16 +41,21 @@ def unknown_ids(log: DataFrame, attempts: DataFrame) -> DataFrame:
 
 def head_bounds(reads: DataFrame, commits: DataFrame) -> DataFrame:
     """``reads`` (stream_id, at, head) against ``commits`` (stream_id, done_at, last, size, outcome):
-    a head is at least what was committed before, and at most what was committed plus all in doubt.
-
-    One grouping per read over the commits of its stream; reads are few."""
-    met = reads.join(commits, "stream_id", "left")
-    before = (F.col("outcome") == "committed") & (F.col("done_at") <= F.col("at"))
-    bound = met.groupBy(*reads.columns).agg(
-        F.coalesce(F.max(F.when(before, F.col("last"))), F.lit(-1)).alias("least"),
-        (F.coalesce(F.max(F.when(F.col("outcome") == "committed", F.col("last"))), F.lit(-1)) + F.coalesce(F.sum(F.when(F.col("outcome") == "indefinite", F.col("size"))), F.lit(0))).alias("most"),
-    )
-    return bound.withColumn("honest", F.col("head").between(F.col("least"), F.col("most")))
+    a head is at least what was committed before, and at most what was committed in all plus the events
+    of attempts in flight or in doubt.
+
+    Reads and commits of a stream pass one window in the order of time, so no pairs are made."""
+    columns = reads.columns
+    none = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    asked = reads.select("stream_id", F.col("at").cast("long").alias("time"), F.struct(*columns).alias("read"), none("last", "long"), none("size", "long"), none("outcome", "string"))
+    told = commits.select("stream_id", F.col("done_at").cast("long").alias("time"), F.lit(None).cast(asked.schema["read"].dataType).alias("read"), F.col("last").cast("long").alias("last"), F.col("size").cast("long").alias("size"), "outcome")
+    good = F.when(F.col("outcome") == "committed", F.col("last"))
+    before = W.partitionBy("stream_id").orderBy("time").rangeBetween(W.unboundedPreceding, 0)
+    met = asked.unionByName(told).withColumn("least", F.coalesce(F.max(good).over(before), F.lit(-1)))
+    doubt = F.when(F.col("outcome").isin("indefinite", "inFlight"), F.col("size"))
+    most = commits.groupBy("stream_id").agg((F.coalesce(F.max(F.when(F.col("outcome") == "committed", F.col("last"))), F.lit(-1)) + F.coalesce(F.sum(doubt), F.lit(0))).alias("most"))
+    out = met.where("read IS NOT NULL").select("read.*", "least").join(most, "stream_id", "left").withColumn("most", F.coalesce("most", F.lit(-1)))
+    return out.withColumn("honest", F.col("head").between(F.col("least"), F.col("most"))).select(*columns, "least", "most", "honest")
 
 
 def storage_loss(committed: DataFrame, readable: DataFrame) -> DataFrame:

@@ -35,6 +35,26 @@ def keyrings(generations: DataFrame, tombstones: DataFrame, subjects: DataFrame)
     return subjects.select("subject").join(rings, "subject", "left").withColumn("key_ids", F.coalesce("key_ids", F.array().cast("array<string>")))
 
 
+def keyring_entries(generations: DataFrame, tombstones: DataFrame, now: Column, seconds: int) -> DataFrame:
+    """subject, key_id, key, expires_at of every key that may be delivered at ``now``."""
+    alive = generations.join(soft_deleted(tombstones), "subject", "left_anti")
+    return alive.select("subject", generation_id(F.col("generation")).alias("key_id"), "key", (now + F.make_dt_interval(secs=F.lit(seconds))).alias("expires_at"))
+
+
+def fetches(requests: DataFrame, rings: DataFrame, now: Column, empty_seconds: int = 30) -> DataFrame:
+    """What a client does about each of ``requests`` (subject, key_id, fetched_at, known): use its ring or
+    fetch it again, and whether the key can be had then.
+
+    ``rings``: keyring_entries as of now.  A ring is good until its first entry expires, an empty one for
+    ``empty_seconds``; a key id that it lacks is asked for again."""
+    first = rings.groupBy("subject").agg(F.min("expires_at").alias("expires_at"))
+    met = requests.join(first, "subject", "left").join(rings.select("subject", "key_id", F.lit(True).alias("there")), ["subject", "key_id"], "left")
+    empty_until = F.col("fetched_at") + F.make_dt_interval(secs=F.lit(empty_seconds))
+    good = F.when(F.col("expires_at").isNull(), now < empty_until).otherwise(now < F.col("expires_at"))
+    action = F.when(F.coalesce(good, F.lit(False)) & F.col("known"), "cached").otherwise("fetch")
+    return met.select(*requests.columns, action.alias("action"), F.coalesce("there", F.lit(False)).alias("deliverable"))
+
+
 def next_generation(generations: DataFrame, subjects: DataFrame) -> DataFrame:
     """The generation that a rotation mints: 0 for a subject without keys."""
     have = generations.groupBy("subject").agg(F.max("generation").alias("newest"))

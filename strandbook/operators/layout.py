@@ -157,6 +157,22 @@ def compacted_read(chunked: DataFrame, tail: DataFrame, n: int, first: int = 0)
     return chunked.drop("chunk_base").unionByName(rest).where(F.col("version") >= first)
 
 
+def discontiguous(read: DataFrame) -> DataFrame:
+    """Commits (stream_id, base_version, commit_size) of a read that don't begin where the one before
+    ends; the first must begin at 0."""
+    order = W.partitionBy("stream_id").orderBy("base_version")
+    expected = F.coalesce(F.lag(F.col("base_version") + F.col("commit_size")).over(order), F.lit(0))
+    return read.withColumn("expected", expected.cast("long")).where("base_version <> expected")
+
+
+def contiguous(read: DataFrame) -> DataFrame:
+    """``read``, which fails where a commit is missing or stands twice."""
+    order = W.partitionBy("stream_id").orderBy("base_version")
+    expected = F.coalesce(F.lag(F.col("base_version") + F.col("commit_size")).over(order), F.lit(0))
+    broken = F.raise_error(F.concat(F.lit("discontiguous at base "), F.col("base_version").cast("string"), F.lit(" of "), F.col("stream_id"))).cast("long")
+    return read.withColumn("base_version", F.when(F.col("base_version") == expected, F.col("base_version")).otherwise(broken))
+
+
 def garbage(commits: DataFrame, watermark: DataFrame) -> DataFrame:
     """Commits below the watermark of their stream (stream_id, watermark)."""
     return commits.join(watermark, "stream_id").where(F.col("base_version") < F.col("watermark")).drop("watermark")

@@ -55,6 +55,14 @@ def poll_status(resources: DataFrame, etag: Column) -> DataFrame:
     return resources.withColumn("status", F.when(F.col("etag").eqNullSafe(etag), 304).otherwise(200))
 
 
+def since(log: DataFrame, moment: Column, first: int = 0, ts: str = "ts") -> DataFrame:
+    """Events from version ``first`` on with a time of ``moment`` or later.
+
+    Streams are read by version and filtered by time, as times need not rise with versions: the result
+    may have gaps."""
+    return replay(log, first).where(F.col(ts) >= moment)
+
+
 def time_regressions(log: DataFrame, ts: str = "ts") -> DataFrame:
     """Events with an earlier time than the event before: time is data here, no coordinate."""
     before = F.lag(ts).over(W.partitionBy("stream_id").orderBy("version"))

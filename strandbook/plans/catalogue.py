@@ -41,6 +41,13 @@ def shared(spark: SparkSession, name: str) -> str:
     return f"{top}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(spark: SparkSession, name: str, df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared folder, by stream and version, and read from there."""
+    at = shared(spark, name)
+    df.repartition("stream_id").sortWithinPartitions("stream_id", "version").write.parquet(at)
+    return spark.read.parquet(at)
+
+
 # -- replay and heads ------------------------------------------------------------------------
 
 COLS = "stream_id, version, id, type, data"
@@ -247,7 +254,7 @@ def compaction_suggested(spark, d):
 @query("SELECT stream_id, version, id FROM ce", "ce")
 def compacted_read(spark, d):
     """Chunks of sealed buckets, with the whole tail still there: nothing is read twice."""
-    e = V.commit_events(spark, d)
+    e = stored(spark, "commit-events", V.commit_events(spark, d))
     chunked = layout.compact(e, layout.sealed_buckets(layout.commit_table(e), 10), 10)
     return layout.compacted_read(chunked, e, 10).select("stream_id", "version", "id")
 
@@ -271,8 +278,38 @@ def json_commit_source(spark, d):
     """Commit documents written as JSON text and read back: payloads stay verbatim."""
     at = shared(spark, "commits")
     documents.commit_documents(V.commit_events(spark, d)).select("body").write.text(at)
-    read = spark.read.schema(documents.COMMIT).json(at)
-    return documents._events(read).select("stream_id", "version", "id", "type", "data", "base_version")
+    return documents.read_commits(spark, at, whole_files=False).select("stream_id", "version", "id", "type", "data", "base_version")
+
+
+@query("SELECT stream_id, (base_version // 10) * 10 AS chunk_base, version, id, data, 'p/streams/' || stream_id || '/e/' || lpad(CAST(last AS VARCHAR), 12, '0') || '.json' AS last_commit FROM (SELECT *, max(base_version) OVER (PARTITION BY stream_id, base_version // 10) AS last, max(base_version) OVER (PARTITION BY stream_id) AS top FROM ce) WHERE top >= (base_version // 10) * 10 + 10", "ce")
+def json_chunk_source(spark, d):
+    """Chunk documents of all sealed buckets written as JSON text and read back."""
+    e = V.commit_events(spark, d)
+    at = shared(spark, "chunks")
+    documents.chunk_documents(layout.compact(e, layout.sealed_buckets(layout.commit_table(e), 10), 10), 10, 0, "p").select("body").write.text(at)
+    last = spark.read.schema(documents.CHUNK).json(at).select(F.col("streamId").alias("stream_id"), F.col("chunkBase").alias("chunk_base"), F.col("lastCommitKey").alias("last_commit"))
+    events = documents.read_chunks(spark, at, whole_files=False).withColumn("chunk_base", K.bucket_base(F.col("base_version"), 10))
+    return events.join(last, ["stream_id", "chunk_base"]).select("stream_id", "chunk_base", "version", "id", "data", "last_commit")
+
+
+@query(f"SELECT {COLS} FROM se WHERE version >= 5 AND version < 25", "se")
+def stored_replay_window(spark, d):
+    """A window of a log that was written once, sorted by stream: the filter reaches the Parquet scan."""
+    log = stored(spark, "stored-log", V.stream_events(spark, d).select(*EVENT))
+    return replay.replay(log, 5, 25)
+
+
+@query("SELECT stream_id, version, id FROM se WHERE version >= 3 AND ts >= TIMESTAMP '2024-01-10 00:00:00'", "se")
+def client_time_filter(spark, d):
+    moment = F.lit("2024-01-10 00:00:00").cast("timestamp_ntz")
+    return replay.since(V.stream_events(spark, d), moment, 3).select("stream_id", "version", "id")
+
+
+@query("SELECT stream_id, base_version, expected FROM (SELECT stream_id, base_version, commit_size, coalesce(lag(base_version + commit_size) OVER (PARTITION BY stream_id ORDER BY base_version), 0) AS expected FROM cm WHERE (base_version + length(stream_id)) % 13 <> 0) WHERE base_version <> expected", "cm")
+def contiguity_check(spark, d):
+    """With some commits taken away, so that there is something to find."""
+    c = _commits(spark, d).where("(base_version + length(stream_id)) % 13 <> 0")
+    return layout.discontiguous(c).select("stream_id", "base_version", "expected")
 
 
 @query("SELECT r_name AS bucket, CASE WHEN r_regionkey IN (1, 2) THEN 'versioning' WHEN r_regionkey = 3 THEN 'replication' END AS fault FROM region")
@@ -316,12 +353,23 @@ def redirects(spark, d):
     return feed.page_requests(V.stream_events(spark, d), _requests(spark, d), PAGE).where("redirect").select("o_orderkey", "page_from")
 
 
-@query("SELECT stream_id, (version // 20) * 20 AS page_from, string_agg(id, ',' ORDER BY version) AS ids FROM se GROUP BY ALL", "se")
+@query(
+    f"SELECT p.stream_id, p.page_from, ids, p.page_from + 20 AS page_to, head >= p.page_from + 20 AS complete, CASE WHEN head >= p.page_from + 20 THEN '/feed/' || p.stream_id || '?from=' || (p.page_from + 20) END AS next, CASE WHEN p.page_from > 0 THEN '/feed/' || p.stream_id || '?from=' || (p.page_from - 20) END AS prev FROM ({PAGES}) p JOIN (SELECT stream_id, (version // 20) * 20 AS page_from, string_agg(id, ',' ORDER BY version) AS ids FROM se GROUP BY ALL) i ON i.stream_id = p.stream_id AND i.page_from = p.page_from",
+    "se", "hd",
+)
 def wire_page_documents(spark, d):
     """JSON page documents, parsed again."""
     body = feed.page_documents(V.stream_events(spark, d), PAGE, "/feed", ["version", "id", "type", "data"])
-    e = F.from_json("body", "struct<events:array<struct<version:bigint,id:string>>>")
-    return body.select("stream_id", "page_from", F.array_join(F.transform(e["events"], lambda x: x["id"]), ",").alias("ids"))
+    e = F.from_json("body", "struct<streamId:string,from:bigint,to:bigint,complete:boolean,events:array<struct<version:bigint,id:string>>,next:string,prev:string>")
+    return body.select(e["streamId"].alias("stream_id"), e["from"].alias("page_from"), F.array_join(F.transform(e["events"], lambda x: x["id"]), ",").alias("ids"), e["to"].alias("page_to"), e["complete"].alias("complete"), e["next"].alias("next"), e["prev"].alias("prev"))
+
+
+@query(f"SELECT r.stream_id, head AS version, '/feed/' || r.stream_id || '?from=' || coalesce((head // 20) * 20, 0) AS head, CASE WHEN head IS NULL THEN '\"empty\"' ELSE '\"v' || head || '\"' END AS etag FROM {ASKED} r LEFT JOIN hd USING (stream_id)", "hd")
+def wire_head_documents(spark, d):
+    asked = V.table(spark, d, "orders").select(F.concat(F.lit("user-"), F.col("o_custkey").cast("string")).alias("stream_id")).distinct()
+    body = feed.head_documents(replay.head_resource(V.stream_events(spark, d), asked, PAGE), "/feed")
+    e = F.from_json("body", "struct<streamId:string,version:bigint,head:string,etag:string>")
+    return body.select(e["streamId"].alias("stream_id"), e["version"].alias("version"), e["head"].alias("head"), e["etag"].alias("etag"))
 
 
 # -- admission -------------------------------------------------------------------------------
@@ -606,15 +654,20 @@ def serialization_gate(spark, d):
     return crypto.gated(log, notes, crypto.subject_in("who")).select("event_id", "reason")
 
 
-@query("SELECT CASE WHEN length(subject) % 3 = 0 THEN 'failed' WHEN generation % 2 = 1 THEN 'alreadyCurrent' ELSE 'rewrapped' END AS status, count(*) AS n FROM kg GROUP BY ALL", "kg")
+REWRAP = "CASE WHEN generation % 5 = 4 THEN 'skipped' WHEN length(subject) % 3 = 0 THEN 'failed' WHEN generation % 2 = 1 THEN 'alreadyCurrent' WHEN generation % 7 = 6 THEN 'skipped' ELSE 'rewrapped' END"
+
+
+@query(f"SELECT subject, generation, {REWRAP} AS status FROM kg", "kg")
 def rewrap_report(spark, d):
-    """Odd generations are under the new master already; some keys were moved from another path."""
-    g = V.key_generations(spark, d).withColumn("key_id", K.generation_id(F.col("generation")))
-    g = g.withColumns({"old_master": F.unhex(F.sha2(F.lit("old"), 256)), "new_master": F.unhex(F.sha2(F.lit("new"), 256))})
+    """Odd generations are under the new master already; some keys were moved from another path, some are
+    gone since they were listed, some change under the writer."""
+    g = V.key_generations(spark, d).withColumn("path", K.generation_path(F.col("subject"), F.col("generation")))
+    g = g.withColumns({"own": K.key_of(F.col("path")), "old_master": F.unhex(F.sha2(F.lit("old"), 256)), "new_master": F.unhex(F.sha2(F.lit("new"), 256))})
     master = F.when(F.col("generation") % 2 == 1, F.col("new_master")).otherwise(F.col("old_master"))
-    path = F.when(F.length("subject") % 3 == 0, F.lit("elsewhere")).otherwise(F.col("subject"))
-    g = g.withColumn("wrapped", crypto.wrap(F.col("key"), master, path, F.col("key_id")))
-    return crypto.rewrap(g).groupBy("status").agg(F.count("*").alias("n"))
+    path = F.when(F.length("subject") % 3 == 0, F.lit("elsewhere")).otherwise(F.col("own.subject"))
+    g = g.withColumn("wrapped", F.when(F.col("generation") % 5 != 4, crypto.wrap(F.col("key"), master, path, F.col("own.key_id"))))
+    g = g.select("own.subject", "own.key_id", "generation", "wrapped", "old_master", "new_master", (F.col("generation") % 7 == 6).alias("moved"))
+    return crypto.rewrap(g).select("subject", "generation", "status")
 
 
 # -- key store and shredding -----------------------------------------------------------------
@@ -674,6 +727,23 @@ def mint_keys(spark, d):
     return keystore.mint(wanted, g, stones.where("length(subject) % 2 = 0"), stones)
 
 
+@query("SELECT a.subject, lpad(CAST(generation AS VARCHAR), 6, '0') AS key_id, TIMESTAMP '2024-01-20 00:05:00' AS expires_at FROM alive a", "alive")
+def keyring_entries(spark, d):
+    return keystore.keyring_entries(V.key_generations(spark, d), _stones(spark, d), F.expr(NOW), 300).select("subject", "key_id", "expires_at")
+
+
+@query(
+    f"SELECT w.subject, w.version, CASE WHEN version % 2 = 0 AND (ring OR TIMESTAMP '2024-01-20 00:00:00' < fetched_at + INTERVAL 30 SECOND) THEN 'cached' ELSE 'fetch' END AS action, there AS deliverable FROM (SELECT w.*, TIMESTAMP '2024-01-20 00:00:00' - version * INTERVAL 1 SECOND AS fetched_at, EXISTS (SELECT 1 FROM alive a WHERE a.subject = w.subject) AS ring, EXISTS (SELECT 1 FROM alive a WHERE a.subject = w.subject AND a.generation = w.generation) AS there FROM {WANTED} w) w",
+    "se", "alive",
+)
+def keyring_fetches(spark, d):
+    """Clients that fetched a ring some seconds ago and know every other key id."""
+    wanted = V.stream_events(spark, d).where("type = 'purchase'").select(F.col("stream_id").alias("subject"), "version", K.generation_id(F.col("version") % 3).alias("key_id"))
+    wanted = wanted.withColumns({"fetched_at": F.expr(NOW) - F.make_dt_interval(secs=F.col("version")), "known": F.col("version") % 2 == 0})
+    rings = keystore.keyring_entries(V.key_generations(spark, d), _stones(spark, d), F.expr(NOW), 300)
+    return keystore.fetches(wanted, rings, F.expr(NOW)).select("subject", "version", "action", "deliverable")
+
+
 @query("SELECT subject, position FROM oi", "oi")
 def open_intents(spark, d):
     return shred.open_intents(V.audit_events(spark, d)).select("subject", "position")
@@ -815,17 +885,29 @@ def unknown_ids(spark, d):
     return integrity.unknown_ids(e, e.where("event_id % 50 <> 0")).select("stream_id", "version", "id")
 
 
+KNOWN = "CASE base_version % 5 WHEN 3 THEN 'indefinite' WHEN 4 THEN 'inFlight' ELSE 'committed' END"
+
+
 @query(
-    "SELECT h.stream_id, 40 AS at, h.head - 3 * (length(h.stream_id) % 2) AS head, max(last_version) FILTER (base_version <= 40) AS least, max(last_version) AS most, h.head - 3 * (length(h.stream_id) % 2) BETWEEN max(last_version) FILTER (base_version <= 40) AND max(last_version) AS honest FROM hd h JOIN cm USING (stream_id) GROUP BY h.stream_id, h.head",
+    f"SELECT h.stream_id, 40 AS at, h.head - 3 * (length(h.stream_id) % 2) AS head, least, most, h.head - 3 * (length(h.stream_id) % 2) BETWEEN least AND most AS honest FROM hd h JOIN (SELECT stream_id, coalesce(max(last_version) FILTER (base_version <= 40 AND outcome = 'committed'), -1) AS least, coalesce(max(last_version) FILTER (outcome = 'committed'), -1) + CAST(coalesce(sum(commit_size) FILTER (outcome <> 'committed'), 0) AS BIGINT) AS most FROM (SELECT *, {KNOWN} AS outcome FROM cm) GROUP BY stream_id) b USING (stream_id)",
     "hd", "cm",
 )
 def forged_head_bounds(spark, d):
+    """Some commits are in doubt or in flight."""
     e = V.commit_events(spark, d)
-    commits = layout.commit_table(e).select("stream_id", F.col("base_version").alias("done_at"), F.col("last_version").alias("last"), F.col("commit_size").alias("size"), F.lit("committed").alias("outcome"))
+    commits = layout.commit_table(e).select("stream_id", F.col("base_version").alias("done_at"), F.col("last_version").alias("last"), F.col("commit_size").alias("size"), F.expr(KNOWN).alias("outcome"))
     reads = replay.heads(e).select("stream_id", F.lit(40).alias("at"), (F.col("version") - 3 * (F.length("stream_id") % 2)).alias("head"))
     return integrity.head_bounds(reads, commits)
 
 
+@query("SELECT stream_id, version FROM ce WHERE event_id % 61 = 0 AND top >= (base_version // 10) * 10 + 10 OR event_id % 59 = 0 AND top < (base_version // 10) * 10 + 10".replace("FROM ce", "FROM (SELECT *, max(base_version) OVER (PARTITION BY stream_id) AS top FROM ce)"), "ce")
+def storage_invariant_compacted(spark, d):
+    """What can be read is the chunks and the tail of buckets without one; each has lost something."""
+    e = stored(spark, "commit-events", V.commit_events(spark, d))
+    chunked = layout.compact(e, layout.sealed_buckets(layout.commit_table(e), 10), 10).where("event_id % 61 <> 0")
+    return integrity.storage_loss(e, layout.compacted_read(chunked, e.where("event_id % 59 <> 0"), 10)).select("stream_id", "version")
+
+
 @query("SELECT stream_id, version FROM se WHERE event_id % 61 = 0", "se")
 def storage_invariant(spark, d):
     e = V.stream_events(spark, d).select("stream_id", "version", "event_id")

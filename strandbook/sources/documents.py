@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.keys import commit_path
+
 #: fixed values: field names of stored documents; data and meta stay verbatim JSON text
 EVENT = "id string, type string, version bigint, data string, keyId string, meta string"
 COMMIT = "commitId string, streamId string, baseVersion bigint, events array<struct<id:string,type:string,version:bigint,data:string,keyId:string,meta:string>>, committedAt string"
@@ -16,12 +18,18 @@ def _events(commits: DataFrame) -> DataFrame:
     return each.select("stream_id", F.col("e.version").alias("version"), F.col("e.id").alias("id"), F.col("e.type").alias("type"), F.col("e.data").alias("data"), F.col("e.keyId").alias("key_id"), F.col("e.meta").alias("meta"), "commit_id", "base_version", "commit_size", "committed_at")
 
 
-def read_commits(spark: SparkSession, path: str) -> DataFrame:
-    return _events(spark.read.schema(COMMIT).option("multiLine", True).option("recursiveFileLookup", True).json(path))
+def _read(spark: SparkSession, schema: str, path: str, whole_files: bool) -> DataFrame:
+    return spark.read.schema(schema).option("multiLine", whole_files).option("recursiveFileLookup", True).option("mode", "FAILFAST").json(path)
+
+
+def read_commits(spark: SparkSession, path: str, whole_files: bool = True) -> DataFrame:
+    """Events of commit documents, one in each file, or one in each line."""
+    return _events(_read(spark, COMMIT, path, whole_files))
 
 
-def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    chunks = spark.read.schema(CHUNK).option("multiLine", True).option("recursiveFileLookup", True).json(path)
+def read_chunks(spark: SparkSession, path: str, whole_files: bool = True) -> DataFrame:
+    """Events of chunk documents, one in each file, or one in each line."""
+    chunks = _read(spark, CHUNK, path, whole_files)
     return _events(chunks.select(F.explode("commits").alias("c")).select("c.*"))
 
 
@@ -32,6 +40,17 @@ def commit_documents(log: DataFrame) -> DataFrame:
     return grouped.select("stream_id", "base_version", F.to_json(F.struct(F.concat_ws("@", "stream_id", "base_version").alias("commitId"), F.col("stream_id").alias("streamId"), F.col("base_version").alias("baseVersion"), "events")).alias("body"))
 
 
+def chunk_documents(events: DataFrame, n: int, byte_cap: int, prefix: str = "") -> DataFrame:
+    """``events`` with chunk_base -> stream_id, chunk_base, body: the JSON document of each chunk, its
+    commits in order, with the policy and the path of the last commit (a chunk has few commits)."""
+    event = F.struct("version", "id", "type", "data")
+    commits = events.groupBy("stream_id", "chunk_base", "base_version").agg(F.array_sort(F.collect_list(event)).alias("events"))
+    commit = F.struct(F.col("base_version").alias("baseVersion"), F.concat_ws("@", "stream_id", "base_version").alias("commitId"), F.col("stream_id").alias("streamId"), "events")
+    grouped = commits.groupBy("stream_id", "chunk_base").agg(F.array_sort(F.collect_list(commit)).alias("commits"), F.max("base_version").alias("last"))
+    body = F.struct(F.col("stream_id").alias("streamId"), F.col("chunk_base").alias("chunkBase"), F.lit(n).alias("n"), F.lit(byte_cap).alias("byteCap"), "commits", commit_path(prefix, F.col("stream_id"), F.col("last")).alias("lastCommitKey"))
+    return grouped.select("stream_id", "chunk_base", F.to_json(body).alias("body"))
+
+
 def key_bucket_faults(settings: DataFrame) -> DataFrame:
     """``settings`` (bucket, versioning, replicated, object_lock) -> bucket, fault: where deleted keys
     would live on, erasure is no erasure."""
