@@ -41,13 +41,18 @@ def shared(spark: SparkSession, name: str) -> str:
     return f"{top}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(spark: SparkSession, name: str, df: DataFrame) -> DataFrame:
+def stored(spark: SparkSession, name: str, df: DataFrame, stream: str = "stream_id", version: str = "version") -> DataFrame:
     """``df`` written once to the shared folder, by stream and version, and read from there."""
     at = shared(spark, name)
-    df.repartition("stream_id").sortWithinPartitions("stream_id", "version").write.parquet(at)
+    df.repartition(stream).sortWithinPartitions(stream, version).write.parquet(at)
     return spark.read.parquet(at)
 
 
+def _audit(spark: SparkSession, d: str) -> DataFrame:
+    """The audit stream: several tables are made of it, so it is written once."""
+    return stored(spark, "audit", V.audit_events(spark, d), "subject", "position")
+
+
 # -- replay and heads ------------------------------------------------------------------------
 
 COLS = "stream_id, version, id, type, data"
@@ -674,7 +679,7 @@ def rewrap_report(spark, d):
 
 
 def _stones(spark, d):
-    return shred.tombstones(V.audit_events(spark, d))
+    return shred.tombstones(_audit(spark, d))
 
 
 @query("SELECT subject, max(generation) AS generation, lpad(CAST(max(generation) AS VARCHAR), 6, '0') AS key_id FROM alive GROUP BY subject", "alive")
@@ -746,19 +751,19 @@ def keyring_fetches(spark, d):
 
 @query("SELECT subject, position FROM oi", "oi")
 def open_intents(spark, d):
-    return shred.open_intents(V.audit_events(spark, d)).select("subject", "position")
+    return shred.open_intents(_audit(spark, d)).select("subject", "position")
 
 
 @query("SELECT subject, max(position) AS position FROM oi GROUP BY subject", "oi")
 def newest_intent(spark, d):
-    return shred.newest_intents(shred.open_intents(V.audit_events(spark, d))).select("subject", "position")
+    return shred.newest_intents(shred.open_intents(_audit(spark, d))).select("subject", "position")
 
 
 NOW = "cast('2024-01-20 00:00:00' as timestamp_ntz)"
 
 
 def _swept(spark, d):
-    audit = V.audit_events(spark, d)
+    audit = _audit(spark, d)
     return audit, shred.sweep(audit, shred.tombstones(audit), F.expr(NOW), "14 DAY")
 
 
@@ -811,7 +816,7 @@ def sweep_checkpoint(spark, d):
 @query("SELECT subject, position FROM oi", "oi")
 def sweep_resumed(spark, d):
     """Open intents from a checkpoint taken in the middle of the log and the entries after it."""
-    audit = V.audit_events(spark, d)
+    audit = _audit(spark, d)
     early = audit.where("ts < '2024-01-12'")
     return shred.resumed(shred.checkpoint(early, early.select("subject", F.lit("waiting").alias("outcome"))), audit)
 
@@ -819,7 +824,7 @@ def sweep_resumed(spark, d):
 @query("SELECT subject, position + 1000000000 AS intent FROM (SELECT stream_id AS subject, row_number() OVER (ORDER BY stream_id) - 1 AS position FROM hd) WHERE subject NOT IN (SELECT subject FROM tomb WHERE status = 'committing')", "hd", "tomb")
 def shred_requests(spark, d):
     """A request for every stream: pending tombstones take the new intent, committed ones stay."""
-    audit = V.audit_events(spark, d)
+    audit = _audit(spark, d)
     subjects = replay.heads(V.stream_events(spark, d)).select(F.col("stream_id").alias("subject"), (F.row_number().over(W.orderBy("stream_id")) - 1).alias("n"), F.expr(NOW).alias("ts"))
     stones = shred.tombstones(shred.requested(audit, subjects, F.lit(1_000_000_000)))
     return stones.where("status = 'pending'").select("subject", "intent")
@@ -832,7 +837,7 @@ def tombstone_state(spark, d):
 
 @query("SELECT subject, position, outcome FROM ts0 WHERE outcome IS NOT NULL", "ts0")
 def cancel_outcomes(spark, d):
-    return shred.cancel_outcomes(V.audit_events(spark, d))
+    return shred.cancel_outcomes(_audit(spark, d))
 
 
 @query(
@@ -841,13 +846,13 @@ def cancel_outcomes(spark, d):
 )
 def reconcile_cancellations(spark, d):
     """As if every cancellation had crashed between its audit entry and the tombstone."""
-    audit = V.audit_events(spark, d)
+    audit = _audit(spark, d)
     return shred.reconcile(shred.tombstones(audit.where("type <> 'ShredCancelled'")), audit)
 
 
 @query("SELECT subject, position, type, row_number() OVER (PARTITION BY subject ORDER BY position) AS n FROM au", "au")
 def audit_timeline(spark, d):
-    return shred.timeline(V.audit_events(spark, d)).select("subject", "position", "type", "n")
+    return shred.timeline(_audit(spark, d)).select("subject", "position", "type", "n")
 
 
 # -- integrity -------------------------------------------------------------------------------

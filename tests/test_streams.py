@@ -229,3 +229,39 @@ def test_compaction_outcomes(spark):
     gap = spark.createDataFrame([("a", 7)], "stream_id string, base_version long")
     with pytest.raises(Exception, match="without commits"):
         layout.compaction_outcomes(gap, listed.limit(0), listed.limit(0), 3).collect()
+
+
+def test_a_gap_in_a_read_fails(spark):
+    whole = spark.createDataFrame([("s", 0, 2), ("s", 2, 1), ("s", 3, 4), ("t", 0, 1)], "stream_id string, base_version long, commit_size long")
+    assert layout.contiguous(whole).count() == 4 and sorted(r.base_version for r in layout.contiguous(whole).collect()) == [0, 0, 2, 3]
+    with pytest.raises(Exception, match="discontiguous at base 3"):
+        layout.contiguous(whole.where("base_version <> 2")).collect()
+    assert [tuple(r) for r in layout.discontiguous(whole.where("base_version <> 2")).select("base_version", "expected").collect()] == [(3, 2)]
+
+
+def test_a_stored_log_pushes_its_filters(spark, tmp_path):
+    at = str(tmp_path / "log")
+    log_of(spark, 100).repartition("stream_id").sortWithinPartitions("stream_id", "version").write.parquet(at)
+    plan = replay.replay(spark.read.parquet(at), 5, 25)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(version,5)" in plan and "LessThan(version,25)" in plan
+
+
+def test_folds_of_empty_ranges_and_long_streams(spark):
+    log = log_of(spark, 5)
+    streams = spark.createDataFrame([("s",), ("none",)], "stream_id string")
+    got = {r.stream_id: (r.version, r.state) for r in transform.fold_in_order(log, F.col("data").cast("long"), F.lit(1).cast("long"), lambda s, x: s * 2 + x, 3, streams).collect()}
+    assert got == {"s": (4, 14), "none": (2, 1)}
+    assert tuple(transform.fold_sorted(log, F.col("data").cast("long"), 1, lambda s, x: s * 2 + x, "long", 3).first()) == ("s", 4, 14)
+
+
+def test_client_read_by_shape(spark):
+    keys = spark.createDataFrame([("s", "000000", bytearray(range(32)))], "stream_id string, key_id string, key binary")
+    whole = crypto.encrypt_payloads(log_of(spark, 1), keys).withColumn("data", F.concat(F.lit('"'), "data", F.lit('"')))
+    plain = log_of(spark, 2).where("version = 1").withColumn("key_id", F.lit(None).cast("string"))
+    marked = plain.withColumns({"version": F.lit(2).cast("long"), "data": F.lit('{"a":{"$enc":"x"},"b":1}'), "key_id": F.lit("000000")})
+    stored = whole.unionByName(plain).unionByName(marked)
+    up = lambda x: x.withColumn("type", F.concat("type", F.lit("2")))
+    got = {r.version: (r.type, r.data) for r in transform.client_read(stored, keys, upcasters=[up]).collect()}
+    assert got == {0: ("E2", "0"), 1: ("E2", "1"), 2: ("E2", '{"a":{"$enc":"x"},"b":1}')}
+    with pytest.raises(Exception, match="not deliverable"):
+        transform.client_read(stored, keys.limit(0)).collect()
