@@ -37,6 +37,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Batches of whole texts hold 1,000 rows instead of Spark's 10,000, unless the session says otherwise:
+    a batch stands in the memory of the JVM and of its Python worker at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, "1000")
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the quarter of documents that no classifier may learn from."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))

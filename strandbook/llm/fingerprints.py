@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, table
+from .common import partitions, small_batches, table
 
 PHRASE_WORDS = 4
 SHORT_SENTENCE = 8  # words; shorter sentences have one leaf for each word
@@ -163,6 +163,7 @@ def fingerprints(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     The ids are cut into ranges at ids of the table.  A range also gets the rows of the id that the
     next one begins with, so the following document is always at hand in one sorted pass."""
     spark = docs.sparkSession
+    small_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     n = ranges or partitions(spark)
     low = -(1 << 63)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import few_ids, partitions, parts_of, shared_dir, table
+from .common import few_ids, partitions, parts_of, shared_dir, small_batches, table
 from .tokens import Encoder, vocabulary
 
 END_ID = 2
@@ -112,6 +112,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: in
 
     The dictionary is trained on the least texts of at most SAMPLE_DOCS documents."""
     spark = docs.sparkSession
+    small_batches(spark)
     path = tokenizer or vocabulary()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     few = few_ids(texts.where("doc_id IS NOT NULL").select("doc_id"), SAMPLE_DOCS)

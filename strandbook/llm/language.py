@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytecnn import ByteCNN, softmax
-from .common import few_by, held_out, parts_of, table
+from .common import few_by, held_out, parts_of, small_batches, table
 
 WINDOW = 256
 SAMPLE_DOCS = 2_000  # bound of the labelled rows that the classifier learns from
@@ -85,6 +85,7 @@ def identify(docs: DataFrame, model: tuple[ByteCNN, list[str]] | None) -> DataFr
 
     Texts of any length are read whole, a bounded number of bytes at a time.  ``und`` with score 0 for a null text, a text without letters, or where there was nothing to
     learn from."""
+    small_batches(docs.sparkSession)
     docs = docs.drop("lang_pred", "score")
     names = docs.columns
     at = names.index("text")

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, parts_of, table
+from .common import cut, parts_of, small_batches, table
 from .tokens import Encoder, vocabulary
 
 CAPACITY = 2048
@@ -172,6 +172,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     A null text is an empty one: its only id is the end id.  Rows with the same doc_id are packed
     each for itself.  Other columns are ignored; an empty table gives no pieces."""
     spark = docs.sparkSession
+    small_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     pieces = cut(texts.mapInArrow(_pieces(tokenizer or vocabulary(), capacity, end_id), PIECES))
     counts = cut(pieces.groupBy("part", "length").count())
@@ -226,6 +227,7 @@ def pack_in_order(docs: DataFrame, tokenizer: str | None = None, capacity: int =
     The documents of every ``range_rows`` consecutive positions fill sequences of their own, so those of
     the first ranges are exactly the documents of the first positions; within a range sequences go by
     the least position in them.  Positions are not null and not negative."""
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("position").cast("long").alias("position"))
     light = "doc_id long, piece int, start long, length long, ids_crc32 long, position long, range long"
     pieces = texts.mapInArrow(_pieces_in_order(tokenizer or vocabulary(), capacity, end_id, range_rows or RANGE_ROWS), light)

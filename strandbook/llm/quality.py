@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytecnn import ByteCNN
-from .common import few_ids, held_out, parts_of, table
+from .common import few_ids, held_out, parts_of, small_batches, table
 
 CHUNK, OVERLAP = 512, 64
 THRESHOLD = 0.7
@@ -101,6 +101,7 @@ def score(docs: DataFrame, net: ByteCNN | None) -> DataFrame:
                     found = probability(net, pooled(net.features(np.concatenate(each)), count))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found)], names=["doc_id", "score"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
 
 

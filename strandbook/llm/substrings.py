@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, rows_of, table
+from .common import cut, rows_of, small_batches, table
 
 LENGTH = 400
 ANCHOR, SPAN = 128, 256  # q-grams and starts of the first anchors; together below LENGTH
@@ -373,6 +373,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated(texts: DataFrame, slice_bytes: int = SLICE, held: int = HELD, hot: int = HOT) -> DataFrame:
     """``texts`` (doc, digest, bytes) -> doc, digest, first, last: stretches that repeat."""
     spark = texts.sparkSession
+    small_batches(spark)
     anchors = cut(texts.mapInArrow(_anchors(slice_bytes), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1"))
     bits = min(MOST_BITS, max(LEAST_BITS, (32 * anchors.count()).bit_length()))
     seen = spark.sparkContext.broadcast(bit_table(anchors.select("anchor"), bits))
