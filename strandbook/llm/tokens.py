@@ -20,7 +20,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 UNUSUAL = regex.compile(r"[^\t\n\r\x20-\x7e\xa0-ͯ‐-‧‰-⁞]|İ|<\|(?:start|end)oftext")
 # fixed value: the splitting pattern in the vocabulary file
 RUNS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-KEPT_RUNS = 1_000_000  # runs that a worker remembers; beyond it the memory is emptied
+KEPT_RUNS = 250_000  # runs that a worker remembers (some 50 MB); beyond it the memory is emptied
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
