@@ -102,16 +102,21 @@ def compaction_outcomes(tail: DataFrame, chunked: DataFrame, listed: DataFrame,
     ``tail``: commits that are still there (stream_id, base_version); ``chunked`` (stream_id, chunk_base):
     chunks that exist when the step writes; ``listed``: those that it saw before.  The bucket after the
     last listed chunk is taken.  compacted: it is sealed and its chunk is written; stood-down: another
-    compactor's chunk is there; nothing-to-do: it isn't sealed.  A sealed bucket without commits and
-    without a chunk is corrupt."""
-    last = listed.groupBy("stream_id").agg((F.max("chunk_base") + n).alias("bucket"))
+    compactor's chunk is there; nothing-to-do: it isn't sealed.
+
+    A commit of many events can reach over a whole bucket, in which no commit begins then: its chunk is
+    written empty, so that chunks stay dense.  Such a commit stands in an earlier chunk; ``listed`` tells
+    it by last_version, the last version in the chunk, if it has this column.  Any other sealed bucket
+    without commits and without a chunk is corrupt."""
+    reach = F.max("last_version") if "last_version" in listed.columns else F.lit(None).cast("long")
+    last = listed.groupBy("stream_id").agg((F.max("chunk_base") + n).alias("bucket"), reach.alias("reach"))
     streams = tail.groupBy("stream_id").agg(F.max("base_version").alias("top")).join(last, "stream_id", "left")
     streams = streams.withColumn("bucket", F.coalesce("bucket", F.lit(0)).cast("long"))
     there = tail.select("stream_id", bucket_base(F.col("base_version"), n).alias("bucket")).distinct().withColumn("members", F.lit(True))
     done = chunked.select("stream_id", F.col("chunk_base").alias("bucket")).distinct().withColumn("chunk", F.lit(True))
     met = streams.join(there, ["stream_id", "bucket"], "left").join(done, ["stream_id", "bucket"], "left")
     lost = F.raise_error(F.concat(F.lit("sealed bucket without commits in "), F.col("stream_id"))).cast("string")
-    status = F.when(F.col("top") < F.col("bucket") + n, "nothing-to-do").when(F.col("chunk"), "stood-down").when(F.col("members"), "compacted").otherwise(lost)
+    status = F.when(F.col("top") < F.col("bucket") + n, "nothing-to-do").when(F.col("chunk"), "stood-down").when(F.col("members") | (F.col("reach") >= F.col("bucket") + n - 1), "compacted").otherwise(lost)
     return met.select("stream_id", "bucket", status.alias("status"))
 
 

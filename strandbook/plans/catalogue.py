@@ -204,11 +204,11 @@ STEP = "SELECT stream_id, CAST(CASE WHEN length(stream_id) % 2 = 0 THEN 10 ELSE
 def _step(spark, d):
     """Even streams have the chunk of their first bucket listed; some have got another one since."""
     commits = _commits(spark, d)
-    top = commits.groupBy("stream_id").agg(F.max("base_version").alias("top"))
-    listed = top.where("length(stream_id) % 2 = 0").select("stream_id", F.lit(0).cast("long").alias("chunk_base"))
+    top = commits.groupBy("stream_id").agg(F.max("base_version").alias("top"), F.max(F.when(F.col("base_version") < 10, F.col("last_version"))).alias("last_version"))
+    listed = top.where("length(stream_id) % 2 = 0").select("stream_id", F.lit(0).cast("long").alias("chunk_base"), "last_version")
     raced = top.where("top % 3 = 0").select("stream_id", F.when(F.length("stream_id") % 2 == 0, 10).otherwise(0).cast("long").alias("chunk_base"))
-    tail = commits.join(listed.withColumn("gone", F.lit(True)), "stream_id", "left").where("gone IS NULL OR base_version >= 10").drop("gone", "chunk_base")
-    return tail, layout.compaction_outcomes(tail, listed.unionByName(raced), listed, 10)
+    tail = commits.join(listed.select("stream_id", F.lit(True).alias("gone")), "stream_id", "left").where("gone IS NULL OR base_version >= 10").drop("gone")
+    return tail, layout.compaction_outcomes(tail, listed.drop("last_version").unionByName(raced), listed, 10)
 
 
 @query(STEP, "cm")

@@ -1,5 +1,6 @@
 """Every registered query against its SQL in DuckDB at the smallest scale."""
 
+import datetime as dt
 import os
 
 import duckdb
@@ -32,3 +33,20 @@ def test_query_equals_sql(spark, duck, name):
     want = duck.sql(catalogue.oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
+
+
+@pytest.mark.parametrize("name", ["compaction_outcomes"])
+def test_a_commit_that_reaches_over_a_bucket(spark, tmp_path, name):
+    """A commit of versions 0 to 24 leaves no commit in bucket 10, which is sealed."""
+    at, moment = str(tmp_path / "events.parquet"), dt.datetime(2024, 1, 1)
+    ids = [3 * i if i < 25 else 3 * i + 1 for i in range(41)]
+    rows = [(k, moment + dt.timedelta(seconds=i), 2, "view", 1.0, "{}") for i, k in enumerate(ids)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(at)
+    same_as_sql(spark, tmp_path, name)
+
+
+def same_as_sql(spark, folder, name):
+    con = duckdb.connect()
+    con.sql(f"create view events as select * from '{folder}/events.parquet/*.parquet'")
+    want = rows(con.sql(catalogue.oracle_sql()[name]).df())
+    assert rows(catalogue.queries()[name](spark, str(folder)).toPandas()) == want and want

@@ -231,6 +231,15 @@ def test_compaction_outcomes(spark):
         layout.compaction_outcomes(gap, listed.limit(0), listed.limit(0), 3).collect()
 
 
+def test_compaction_of_a_bucket_that_one_commit_reaches_over(spark):
+    tail = spark.createDataFrame([("a", 7)], "stream_id string, base_version long")
+    listed = spark.createDataFrame([("a", 0, 6)], "stream_id string, chunk_base long, last_version long")
+    chunks = listed.select("stream_id", "chunk_base")
+    assert [tuple(r) for r in layout.compaction_outcomes(tail, chunks, listed, 3).collect()] == [("a", 3, "compacted")]
+    with pytest.raises(Exception, match="without commits"):  # the chunk ends within the bucket
+        layout.compaction_outcomes(tail, chunks, listed.withColumn("last_version", F.lit(4).cast("long")), 3).collect()
+
+
 def test_a_gap_in_a_read_fails(spark):
     whole = spark.createDataFrame([("s", 0, 2), ("s", 2, 1), ("s", 3, 4), ("t", 0, 1)], "stream_id string, base_version long, commit_size long")
     assert layout.contiguous(whole).count() == 4 and sorted(r.base_version for r in layout.contiguous(whole).collect()) == [0, 0, 2, 3]
