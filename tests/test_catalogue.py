@@ -35,7 +35,7 @@ def test_query_equals_sql(spark, duck, name):
     assert rows(got) == rows(want)
 
 
-@pytest.mark.parametrize("name", ["compaction_outcomes"])
+@pytest.mark.parametrize("name", ["compaction_outcomes", "compaction_leaves"])
 def test_a_commit_that_reaches_over_a_bucket(spark, tmp_path, name):
     """A commit of versions 0 to 24 leaves no commit in bucket 10, which is sealed."""
     at, moment = str(tmp_path / "events.parquet"), dt.datetime(2024, 1, 1)
