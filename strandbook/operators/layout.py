@@ -155,9 +155,12 @@ def compact(events: DataFrame, buckets: DataFrame, n: int) -> DataFrame:
     return at.join(sealed, ["stream_id", "bucket"], "left_semi").withColumnRenamed("bucket", "chunk_base")
 
 
-def compacted_read(chunked: DataFrame, tail: DataFrame, n: int, first: int = 0) -> DataFrame:
-    """Chunks, and those commits of the tail whose bucket has no chunk; chunks are authoritative."""
-    have = chunked.select("stream_id", F.col("chunk_base").alias("bucket")).distinct()
+def compacted_read(chunked: DataFrame, tail: DataFrame, n: int, first: int = 0, chunks: DataFrame | None = None) -> DataFrame:
+    """Chunks, and those commits of the tail whose bucket has no chunk; chunks are authoritative.
+
+    ``chunks`` (stream_id, chunk_base) lists the chunks that exist, those without a readable event among
+    them; without it they are the ones that ``chunked`` has events of."""
+    have = (chunked if chunks is None else chunks).select("stream_id", F.col("chunk_base").alias("bucket")).distinct()
     rest = tail.withColumn("bucket", bucket_base(F.col("base_version"), n)).join(have, ["stream_id", "bucket"], "left_anti").drop("bucket")
     return chunked.drop("chunk_base").unionByName(rest).where(F.col("version") >= first)
 

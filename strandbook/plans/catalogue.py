@@ -909,8 +909,10 @@ def forged_head_bounds(spark, d):
 def storage_invariant_compacted(spark, d):
     """What can be read is the chunks and the tail of buckets without one; each has lost something."""
     e = stored(spark, "commit-events", V.commit_events(spark, d))
-    chunked = layout.compact(e, layout.sealed_buckets(layout.commit_table(e), 10), 10).where("event_id % 61 <> 0")
-    return integrity.storage_loss(e, layout.compacted_read(chunked, e.where("event_id % 59 <> 0"), 10)).select("stream_id", "version")
+    buckets = layout.sealed_buckets(layout.commit_table(e), 10)
+    chunks = buckets.where("sealed").select("stream_id", F.col("bucket").alias("chunk_base"))
+    chunked = layout.compact(e, buckets, 10).where("event_id % 61 <> 0")
+    return integrity.storage_loss(e, layout.compacted_read(chunked, e.where("event_id % 59 <> 0"), 10, chunks=chunks)).select("stream_id", "version")
 
 
 @query("SELECT stream_id, version FROM se WHERE event_id % 61 = 0", "se")

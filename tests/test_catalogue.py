@@ -45,6 +45,16 @@ def test_a_commit_that_reaches_over_a_bucket(spark, tmp_path, name):
     same_as_sql(spark, tmp_path, name)
 
 
+def test_a_chunk_that_lost_all_its_events(spark, tmp_path):
+    """Bucket 10 has one commit of one event (61), which is lost in its chunk; the tail still has it."""
+    at, moment = str(tmp_path / "events.parquet"), dt.datetime(2024, 1, 1)
+    ids = [3 * i if i < 19 else 61 if i == 19 else 3 * i + 4 for i in range(41)]
+    rows = [(k, moment + dt.timedelta(seconds=i), 2, "view", 1.0, "{}") for i, k in enumerate(ids)]
+    assert len(set(ids)) == 41
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(at)
+    same_as_sql(spark, tmp_path, "storage_invariant_compacted")
+
+
 def same_as_sql(spark, folder, name):
     con = duckdb.connect()
     con.sql(f"create view events as select * from '{folder}/events.parquet/*.parquet'")
