@@ -46,12 +46,26 @@ def encrypt(text: Column, key: Column, aad: Column, compress: bool = False) -> C
     return F.translate(F.base64(F.aes_encrypt(body, key, F.lit("GCM"), F.lit("DEFAULT"), F.lit("").cast("binary"), aad)), "\r\n", "")
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def decrypt(data: Column, key: Column, aad: Column, compressed: bool = True) -> Column:
     """Null for a wrong key, AAD or altered data, and for a header that is neither raw nor compressed.
 
     The header alone tells whether a payload is compressed.  ``compressed=False`` promises that none is
     and keeps all work in the JVM; a payload that breaks the promise fails."""
-    plain = F.try_aes_decrypt(F.unbase64(data), key, F.lit("GCM"), F.lit("DEFAULT"), aad)
+    plain = _opened(data, key, aad)
+    # a Python function can't stand in a lambda
+    return _text_of(plain, True) if compressed else _once(plain, lambda p: _text_of(p, False))
+
+
+def _opened(data: Column, key: Column, aad: Column) -> Column:
+    return F.try_aes_decrypt(F.unbase64(data), key, F.lit("GCM"), F.lit("DEFAULT"), aad)
+
+
+def _text_of(plain: Column, compressed: bool) -> Column:
     body = F.substring(plain, F.lit(2), F.octet_length(plain))
     raw = F.decode(body, "UTF-8")
     header = F.hex(F.substring(plain, 1, 1))
@@ -74,8 +88,9 @@ def decrypt_payloads(log: DataFrame, keyring: DataFrame, compressed: bool = True
 
     Strict reading fails on altered data; a shredded payload is null."""
     met = log.join(keyring, ["stream_id", "key_id"], "left")
-    text = decrypt(F.col("data"), F.col("key"), payload_aad(F.col("stream_id"), F.col("key_id")), compressed)
-    met = met.withColumn("plain", text)
+    # a column of its own, so that each payload is opened once and not wherever its header or text is asked for
+    met = met.withColumn("opened", _opened(F.col("data"), F.col("key"), payload_aad(F.col("stream_id"), F.col("key_id"))))
+    met = met.withColumn("plain", _text_of(F.col("opened"), compressed)).drop("opened")
     status = F.when(F.col("key_id").isNull(), "plain").when(F.col("key").isNull(), "shredded").when(F.col("plain").isNotNull(), "ok").otherwise("corrupt")
     met = met.withColumn("status", status)
     bad = F.raise_error(F.concat(F.lit("payload fails authentication in "), F.col("stream_id"))).cast("string")
@@ -130,7 +145,7 @@ def decrypt_field(value: Column, key: Column, key_id: Column, stream_id: Column,
     name = F.lit(field) if isinstance(field, str) else field
     text = decrypt(F.get_json_object(value, "$['$enc']"), key, field_aad(stream_id, key_id, field), compressed)
     bad = F.raise_error(F.concat(F.lit("field fails authentication: "), name)).cast("string")
-    return F.when(~F.coalesce(is_field_envelope(value), F.lit(False)), value).when(key.isNull(), F.lit(SHREDDED)).when(text.isNotNull(), text).otherwise(bad)
+    return F.when(~F.coalesce(is_field_envelope(value), F.lit(False)), value).when(key.isNull(), F.lit(SHREDDED)).otherwise(F.coalesce(text, bad))
 
 
 Subject = Callable[[Column, Column], Column]
@@ -154,14 +169,16 @@ def gated(events: DataFrame, annotations: DataFrame, subject: Subject) -> DataFr
     plaintext = true.  ``reason`` tells why an event must not be written, or is null; it is worked out of
     the payload, the annotation and the subject before any key is asked for.  Streams whose name begins
     with ``$`` and plaintext types pass with fields null."""
-    met = events.join(annotations.select("type", F.col("fields").alias("fields"), F.coalesce("plaintext", F.lit(False)).alias("plaintext"), F.lit(True).alias("known")), "type", "left")
+    # a row for each type, of which there are few; dealt by type the log would have no more tasks than types
+    notes = annotations.select("type", F.col("fields").alias("fields"), F.coalesce("plaintext", F.lit(False)).alias("plaintext"), F.lit(True).alias("known"))
+    met = events.join(F.broadcast(notes), "type", "left")
     fields = F.coalesce("fields", F.array().cast("array<string>"))
     open_ = F.startswith("stream_id", F.lit("$")) | F.coalesce("plaintext", F.lit(False))
     met = met.withColumn("subject", F.when(~open_, subject(F.col("type"), F.col("data"))))
     reserved = F.exists(F.map_entries(entries(F.col("data"))), lambda e: ~F.array_contains(fields, e["key"]) & (is_envelope(e["value"]) | is_shredded(e["value"])))
-    lost = ~subject(F.col("type"), _marked(F.col("data"), fields)).eqNullSafe(F.col("subject"))
     # a subject that turns into an envelope is lost, whatever text it gives
-    lost = lost | F.coalesce(F.contains(subject(F.col("type"), _marked(F.col("data"), fields)), F.lit("$enc")), F.lit(False))
+    left = subject(F.col("type"), _marked(F.col("data"), fields))
+    lost = _once(left, lambda x: ~x.eqNullSafe(F.col("subject")) | F.coalesce(F.contains(x, F.lit("$enc")), F.lit(False)))
     reason = (
         F.when(F.startswith("stream_id", F.lit("$")), None)
         .when(F.col("known").isNull(), "unannotated type")

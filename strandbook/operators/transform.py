@@ -68,7 +68,8 @@ def client_read(log: DataFrame, keyring: DataFrame, field_keys: DataFrame | None
     the stream's ``keyring`` (stream_id, key_id, key), and a key that isn't there fails.  An object's
     envelopes are opened with ``field_keys`` (``decrypt_fields``); without them they stay as they are."""
     events = log.where(F.col("version") >= first)
-    whole = F.col("key_id").isNotNull() & ~is_object(F.col("data")) & F.startswith("data", F.lit('"'))
+    # what begins with a quotation mark is no object, so ciphertexts are not parsed to tell
+    whole = F.col("key_id").isNotNull() & F.startswith("data", F.lit('"'))
     by_field = F.col("key_id").isNotNull() & is_object(F.col("data"))
     shape = F.when(whole, "whole").when(by_field, "fields").otherwise("plain")
     events = events.withColumn("shape", shape)

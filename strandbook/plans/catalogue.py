@@ -605,8 +605,10 @@ def field_mask_shredded(spark, d):
 
 @query("SELECT stream_id, version, CASE WHEN version % 3 = 0 AND type = 'click' THEN 'clicked' ELSE type END AS type, CAST(json_extract_string(data, '$.k') AS BIGINT) AS k FROM se WHERE version >= 4", "se")
 def client_read(spark, d):
-    """A third of the events plain, a third one ciphertext, a third with an encrypted field; all read alike."""
-    log = V.stream_events(spark, d).select(*EVENT)
+    """A third of the events plain, a third one ciphertext, a third with an encrypted field; all read alike.
+
+    The log is written once, as it stands in storage, and read from there."""
+    log = stored(spark, "client-events", V.stream_events(spark, d).select(*EVENT))
     keys = _stream_keys(log)
     plain = log.where("version % 3 = 0").withColumn("key_id", F.lit(None).cast("string"))
     whole = crypto.encrypt_payloads(log.where("version % 3 = 1"), keys, compress=True)
@@ -616,12 +618,13 @@ def client_read(spark, d):
     owned = log.where("version % 3 = 2").withColumn("data", F.to_json(F.struct(F.col("stream_id").alias("owner"), F.get_json_object("data", "$.k").cast("long").alias("k"))))
     owner = crypto.subject_in("owner")
     fields = crypto.encrypt_fields(crypto.gated(owned, notes, owner).where("reason IS NULL"), by_stream)
-    stored = plain.unionByName(whole).unionByName(fields)
+    # by stream, so that every task of the read has its share of the ciphertexts
+    written = stored(spark, "client-log", plain.unionByName(whole).unionByName(fields))
 
     def rename(x: DataFrame) -> DataFrame:
         return x.withColumn("type", F.when((F.col("version") % 3 == 0) & (F.col("type") == "click"), "clicked").otherwise(F.col("type")))
 
-    read = transform.client_read(stored, keys, by_stream.withColumn("status", F.lit("ok")), owner, [rename], 4)
+    read = transform.client_read(written, keys, by_stream.withColumn("status", F.lit("ok")), owner, [rename], 4)
     return read.select("stream_id", "version", "type", F.get_json_object("data", "$.k").cast("long").alias("k"))
 
 

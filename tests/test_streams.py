@@ -274,3 +274,14 @@ def test_client_read_by_shape(spark):
     assert got == {0: ("E2", "0"), 1: ("E2", "1"), 2: ("E2", '{"a":{"$enc":"x"},"b":1}')}
     with pytest.raises(Exception, match="not deliverable"):
         transform.client_read(stored, keys.limit(0)).collect()
+
+
+def test_a_ciphertext_is_opened_once(spark):
+    keys = spark.createDataFrame([("s", "000000", bytearray(range(32)))], "stream_id string, key_id string, key binary")
+    log = log_of(spark, 1).withColumn("key_id", F.lit("000000"))
+    plan = crypto.decrypt_payloads(log, keys)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().replace("_", "").count("aesdecrypt") == 1
+    notes = spark.createDataFrame([("E", ["k"], False)], "type string, fields array<string>, plaintext boolean")
+    log = log.withColumn("type", F.concat("type", "id"))  # no constant
+    plan = crypto.gated(log, notes, crypto.subject_in("who"))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning(type" not in plan
