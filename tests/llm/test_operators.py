@@ -342,3 +342,26 @@ def test_neighbours_of_uneven_norms(spark, norms):
     got = recall(spark, x, 40)
     print(norms, got)
     assert got >= 0.95
+
+
+def test_frequent_runs_are_kept_when_the_memory_is_full(monkeypatch):
+    monkeypatch.setattr(tokens, "KEPT_RUNS", 60)
+    encoder = tokens.Encoder(tokens.vocabulary())
+    for k in range(12):
+        texts = ["the common words of every batch " + " ".join("x" + "abcdefghijkl"[k] + "abcdefghijkl"[i] * 3 for i in range(12))]
+        assert encoder.encode(texts)[0].tolist() == encoder.tokenizer.encode(texts[0], add_special_tokens=False).ids
+        assert len(encoder.number) <= 60 and (k < 2 or {"the", "common", "batch"} <= set(encoder.number))
+    assert len(encoder.number) == len(encoder.length) == len(encoder.first) == len(encoder.again)
+    learned = []
+    monkeypatch.setattr(encoder, "_learn", lambda runs, learn=encoder._learn: (learned.extend(runs), learn(runs)))
+    encoder.encode(["common new"] + ["yy" + a + b for a in "abcdef" for b in "abcde"])
+    assert "new" in learned and "common" not in learned
+
+
+def test_runs_are_split_as_the_vocabulary_says():
+    import regex
+
+    said = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+    usual = "".join(c for c in map(chr, range(0x3000)) if tokens.UNUSUAL.search(c) is None).lower()
+    for text in (usual, " a".join(usual), "1".join(usual), "it's we'll 12\xa0½ ñandú—n'a"):
+        assert tokens.RUNS.findall(text) == said.findall(text)
