@@ -202,8 +202,10 @@ STEP = "SELECT stream_id, CAST(CASE WHEN length(stream_id) % 2 = 0 THEN 10 ELSE
 
 
 def _step(spark, d):
-    """Even streams have the chunk of their first bucket listed; some have got another one since."""
-    commits = _commits(spark, d)
+    """Even streams have the chunk of their first bucket listed; some have got another one since.
+
+    The commits are written once: the tail, the listed chunks and those that raced are all made of them."""
+    commits = stored(spark, "step-commits", _commits(spark, d), version="base_version")
     top = commits.groupBy("stream_id").agg(F.max("base_version").alias("top"), F.max(F.when(F.col("base_version") < 10, F.col("last_version"))).alias("last_version"))
     listed = top.where("length(stream_id) % 2 = 0").select("stream_id", F.lit(0).cast("long").alias("chunk_base"), "last_version")
     raced = top.where("top % 3 = 0").select("stream_id", F.when(F.length("stream_id") % 2 == 0, 10).otherwise(0).cast("long").alias("chunk_base"))

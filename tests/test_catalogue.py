@@ -60,3 +60,10 @@ def same_as_sql(spark, folder, name):
     con.sql(f"create view events as select * from '{folder}/events.parquet/*.parquet'")
     want = rows(con.sql(catalogue.oracle_sql()[name]).df())
     assert rows(catalogue.queries()[name](spark, str(folder)).toPandas()) == want and want
+
+
+@pytest.mark.parametrize("name", ["compaction_outcomes", "compaction_leaves"])
+def test_a_compaction_step_makes_its_commits_once(spark, name):
+    """The result is made of stored commits, not of the events again for each table of the step."""
+    files = catalogue.queries()[name](spark, SMALL).inputFiles()
+    assert files and not any("events.parquet" in f for f in files)
