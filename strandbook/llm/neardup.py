@@ -1,12 +1,14 @@
 """Near-duplicate documents by improved consistent weighted sampling over TF-IDF shingles.
 
 A document is the weighted set of its five-word shingles.  The weight of a shingle is its count in
-the document times its idf, ``1 + log2(min(N / df, RARE)) / log2(RARE)``: 2 for all shingles in at
-most 1/RARE of the documents, falling to 1 for one that every document has.  As the idf is flat for
-rare shingles, only shingles in at least 1/RARE of all documents need a count; there are at most
-RARE times the mean number of shingles of a document, whatever the number of documents.  They are
-found exactly: such a shingle has that share in at least one block of documents, so a first pass
-marks the shingles that are frequent in some block and a second one counts the marked ones.
+the document times its idf, ``1 + log2(N / df) / log2(N)``: 2 for a shingle of one document, falling
+to 1 for one that every document has.  Documents are counted for all shingles, in a sketch of COUNTERS
+counters: the task of a partition counts the documents of each counter, and the counters are added in
+slices.  A shingle's df is what its counter has above the mean of all counters.  So a df is too large
+or small by about the root of that mean, which is N times the mean number of shingles of a document
+over COUNTERS: 20 with 256,000 documents of 330 shingles, so that counts of a few documents are then
+uncertain, and next to none in a small table.  A counter is the same for all documents, so an error
+changes the weight of a shingle but is no difference between the documents that have it.
 
 Consistent sampling draws r, c ~ Gamma(2, 1) and b ~ U(0, 1) for a shingle and each of the HASHES
 samples; with t = floor(ln w / r + b) and ln y = r (t - b), a sample is the (shingle, t) of the
@@ -24,6 +26,7 @@ Leaders are compared in blocks, so a member's text moves once for a block and no
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import cache
 
@@ -38,15 +41,14 @@ from .links import components
 
 WORDS = 5
 SIMILAR = 0.8
-RARE = 16
+RARE = 1 << 32  # N / df beyond which an idf stays; more than documents can be
+COUNTERS, SLICES = 1 << 22, 64
 BANDS, ROWS = 20, 6
 HASHES = BANDS * ROWS
 DRAWS = 1 << 14  # rows of the tables of draws; a shingle's hash names its row
 SMALL = 16  # members of a bucket that are all leaders at once
 BLOCK, LEAD_SHINGLES = 256, 250_000  # leaders that members are compared with together, and about their shingles
 CHUNK = 512  # members that are compared with a block of leaders together
-MARKS = 1 << 18
-BLOCK_DOCS, BLOCK_SHINGLES = 4096, 4_000_000
 GROUP = 1 << 20  # bytes of texts whose words are hashed together
 LONG_WORD = 256
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -123,23 +125,44 @@ def shingles(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(all_shingles(words), return_counts=True)
 
 
+def idf(df: np.ndarray, n_docs: int) -> np.ndarray:
+    return 1 + np.log2(np.clip(n_docs / np.maximum(df, 1), 1, RARE)) / np.log2(min(max(n_docs, 2), RARE))
+
+
 class Weights:
-    """The idf of shingles; those that aren't frequent have 2."""
+    """The idf of shingles by their document counts; those that aren't named are in one document."""
 
-    def __init__(self, frequent: dict[int, int], n_docs: int):
-        self.known = np.array(sorted(frequent), dtype=np.uint64)
-        df = np.array([frequent[int(s)] for s in self.known], dtype=np.float64)
-        self.idf = 1 + np.log2(np.clip(n_docs / np.maximum(df, 1), 1, RARE)) / np.log2(RARE)
+    def __init__(self, counts: dict[int, int], n_docs: int):
+        self.known = np.array(sorted(counts), dtype=np.uint64)
+        self.idf = idf(np.array([counts[int(s)] for s in self.known], dtype=np.float64), n_docs)
+        self.rest = float(idf(np.ones(1), n_docs)[0])
 
     def of(self, s: np.ndarray, tf: np.ndarray) -> np.ndarray:
-        w = 2.0 * tf
+        w = self.rest * tf
         if len(self.known):
             at = np.minimum(np.searchsorted(self.known, s), len(self.known) - 1)
             hit = self.known[at] == s
-            w[hit] *= self.idf[at[hit]] / 2
+            w[hit] = tf[hit] * self.idf[at[hit]]
         return w
 
 
+class Counted:
+    """The idf of all shingles by a sketch of their document counts."""
+
+    def __init__(self, spark: SparkSession, counts: np.ndarray, n_docs: int):
+        # counts of other shingles in the same counter
+        df = np.rint(counts - counts.sum() / COUNTERS)
+        self.idf = spark.sparkContext.broadcast(idf(df, n_docs).astype(np.float32))
+
+    def of(self, s: np.ndarray, tf: np.ndarray) -> np.ndarray:
+        return self.idf.value[slots(s)] * tf.astype(np.float64)
+
+
+def slots(s: np.ndarray) -> np.ndarray:
+    """The counters of shingles, by bits that the rows of draws don't use."""
+    return (s >> np.uint64(64 - COUNTERS.bit_length() + 1)).astype(np.intp)
+
+
 def _ranked(ln_a: np.ndarray, row: np.ndarray) -> np.ndarray:
     """ln a in the order of 17 bits, with the row of the draws in the lower 15."""
     scaled = np.clip((ln_a + np.float32(24)) * np.float32((1 << 17) / 32), 0, (1 << 17) - 1).astype(np.uint32)
@@ -162,7 +185,8 @@ def bands(s: np.ndarray, w: np.ndarray) -> np.ndarray:
     r, ln_c, b, plain = draws()
     row = (s & np.uint64(DRAWS - 1)).astype(np.intp)
     owner = np.empty(DRAWS, np.intp)
-    owner[row[::-1]] = np.arange(len(s))[::-1]  # of shingles with the same draws, the first
+    order = np.lexsort((-np.arange(len(s)), w))
+    owner[row[order]] = order  # of shingles with the same draws, the first of the heaviest: its ln a is the least
     ln_w = np.log(w).astype(np.float32)
     least = np.full(HASHES, 0xFFFFFFFF, np.uint32)
     usual = row[w == 2.0]
@@ -192,59 +216,50 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(least / (a[1].sum() + b[1].sum() - least))
 
 
-def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Marks that a share of 1/RARE of the documents of a block may have.
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The documents of each counter in a partition, packed, in slices."""
+    count = np.zeros(COUNTERS, np.int32)
+    for part in (p for batch in batches for p in parts_of(batch, 0)):
+        for words in words_of([t or "" for t in part.column(0).to_pylist()]):
+            if len(words):
+                count[np.unique(slots(all_shingles(words)))] += 1
+    packed = [zlib.compress(c.tobytes(), 1) for c in np.split(count, SLICES)]
+    yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(packed, pa.binary())], names=["slice", "counts"])
 
-    A partition's last documents belong to the block before, so no block is a handful of them."""
-    held_docs, held = 0, np.zeros(MARKS, np.int32)
-    n, size, count = 0, 0, np.zeros(MARKS, np.int32)
 
-    def marked() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.flatnonzero((held > 0) & (held.astype(np.int64) * RARE >= held_docs)).astype(np.int32))], names=["mark"])
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a slice follow each other; one with their sum for each."""
+    at, held = None, None
 
-    for batch in batches:
-        for part in parts_of(batch, 0):
-            for words in words_of([t or "" for t in part.column(0).to_pylist()]):
-                n += 1
-                if len(words):
-                    own = np.unique((all_shingles(words) & np.uint64(MARKS - 1)).astype(np.int32))
-                    count[own] += 1
-                    size += len(own)
-                if n >= BLOCK_DOCS or size >= BLOCK_SHINGLES:
-                    if held_docs:
-                        yield marked()
-                    held_docs, held = n, count
-                    n, size, count = 0, 0, np.zeros(MARKS, np.int32)
-    held_docs, held = held_docs + n, held + count
-    yield marked()
-
-
-def weights(texts: DataFrame) -> Weights:
-    """Document counts over all of ``texts`` (text)."""
-    marks = np.zeros(MARKS, bool)
-    # at most MARKS numbers
-    marks[[r["mark"] for r in texts.mapInArrow(_mark, "mark int").distinct().collect()]] = True
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in (p for batch in batches for p in parts_of(batch, 0)):
-            parts = [np.zeros(0, np.uint64)]
-            for words in words_of([t or "" for t in part.column(0).to_pylist()]):
-                if len(words):
-                    s = all_shingles(words)
-                    parts.append(np.unique(s[marks[(s & np.uint64(MARKS - 1)).astype(np.intp)]]))
-            s, df = np.unique(np.concatenate(parts), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(df.astype(np.int64))], names=["shingle", "df"])
+    def row() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([held.tobytes()], pa.binary())], names=["slice", "counts"])
 
-    n_docs = texts.count()
-    found = texts.mapInArrow(count, "shingle long, df long").groupBy("shingle").agg(F.sum("df").alias("df")).where(F.col("df") * RARE >= n_docs)
-    # at most RARE times the mean number of shingles of a document
-    return Weights({r["shingle"] & 0xFFFFFFFFFFFFFFFF: r["df"] for r in found.collect()}, n_docs)
+    for batch in batches:
+        for n, packed in rows_of(batch, 64):
+            if n != at:
+                if at is not None:
+                    yield row()
+                at, held = n, np.zeros(COUNTERS // SLICES, np.int64)
+            held += np.frombuffer(zlib.decompress(packed), np.int32)
+    if at is not None:
+        yield row()
+
+
+def weights(texts: DataFrame) -> Counted:
+    """Document counts of all shingles over all of ``texts`` (text)."""
+    parts = texts.mapInArrow(_counted, "slice int, counts binary").repartition("slice").sortWithinPartitions("slice")
+    counts = np.zeros(COUNTERS, np.int64)
+    # COUNTERS numbers, whatever the size of the table
+    for r in parts.mapInArrow(_added, "slice int, counts binary").collect():
+        size = COUNTERS // SLICES
+        counts[r["slice"] * size : (r["slice"] + 1) * size] = np.frombuffer(r["counts"], np.int64)
+    return Counted(texts.sparkSession, counts, texts.count())
 
 
 SIGNED = "doc_id long, key binary, size long, bands array<long>"
 
 
-def _signed(known: Weights):
+def _signed(known: Weights | Counted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (p for batch in batches for p in parts_of(batch, 1)):
             texts = part.column(1).to_pylist()
@@ -290,7 +305,7 @@ class _Leaders:
         return np.flatnonzero(least / (self.total + w.sum() - least) >= similar - 1e-12)
 
 
-def _compared(known: Weights, similar: float):
+def _compared(known: Weights | Counted, similar: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of a block and chunk follow each other, the leaders first.
 
@@ -324,7 +339,7 @@ def _compared(known: Weights, similar: float):
     return run
 
 
-def _verified(pending: DataFrame, texts: DataFrame, known: Weights, similar: float) -> DataFrame:
+def _verified(pending: DataFrame, texts: DataFrame, known: Weights | Counted, similar: float) -> DataFrame:
     """``pending`` (band, value, node, shingles, low, leads) -> links (a, b) of members and similar leaders.
 
     Leaders with the same hub (the foremost document that any of their buckets has) make blocks, so

@@ -206,6 +206,20 @@ def test_idf_changes_an_outcome():
     assert at(flat) >= 0.75 > at(weighted)
 
 
+def test_every_shingle_has_a_document_count(spark):
+    """A passage in 5 % of the documents keeps short texts apart that are 0.82 alike by counts alone."""
+    passage = " ".join(f"passage{i}" for i in range(95))
+    texts = [f"{passage} " + " ".join(f"own{k}x{i}" for i in range(10)) for k in range(10)]
+    texts += [" ".join(f"other{k}x{i}" for i in range(60)) for k in range(188)]
+    texts += [" ".join(f"near{i}" for i in range(100)) + end for end in (" one", " two")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    known = neardup.weights(docs.select("text").repartition(3))
+    s, tf = neardup.shingles(list(neardup.words_of([passage]))[0])
+    assert np.allclose(np.median(known.of(s, tf)), neardup.idf(np.array([10.0]), 200)) and neardup.idf(np.ones(1), 200)[0] == 2
+    got = {r.doc_id: r.class_id for r in neardup.near_classes(docs).collect()}
+    assert got == {i: 198 if i == 199 else i for i in range(200)}
+
+
 def test_pipeline_stages_against_plain_python(spark, plain):
     import corpus_pipeline
 
