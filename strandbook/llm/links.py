@@ -18,9 +18,10 @@ def _least(pairs: DataFrame) -> DataFrame:
 
 def _flat(edges: DataFrame) -> bool:
     """Every node has one edge, to a node that has none."""
-    if not edges.join(edges.select(F.col("b").alias("a")), "a", "left_semi").isEmpty():
-        return False
-    return edges.groupBy("a").count().where("count > 1").isEmpty()
+    up = edges.select(F.col("a").alias("node"), F.lit(1).alias("edges"), F.lit(False).alias("met"))
+    down = edges.select(F.col("b").alias("node"), F.lit(0).alias("edges"), F.lit(True).alias("met"))
+    nodes = up.unionByName(down).groupBy("node").agg(F.sum("edges").alias("edges"), F.max("met").alias("met"))
+    return nodes.where("edges > 1 OR edges = 1 AND met").isEmpty()
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -43,6 +43,7 @@ WORDS = 5
 SIMILAR = 0.8
 RARE = 1 << 32  # N / df beyond which an idf stays; more than documents can be
 COUNTERS, SLICES = 1 << 22, 64
+TAKEN = 8  # partitions of slices that the driver takes one after the other
 BANDS, ROWS = 20, 6
 HASHES = BANDS * ROWS
 DRAWS = 1 << 14  # rows of the tables of draws; a shingle's hash names its row
@@ -147,16 +148,17 @@ class Weights:
 
 
 class Counted:
-    """The idf of all shingles by a sketch of their document counts."""
+    """The idf of all shingles by a sketch of their document counts, in the slot of each counter."""
 
-    def __init__(self, spark: SparkSession, counts: np.ndarray, n_docs: int):
-        # counts of other shingles in the same counter
-        df = np.rint(counts - counts.sum() / COUNTERS)
-        self.idf = spark.sparkContext.broadcast(idf(df, n_docs).astype(np.float32))
+    def __init__(self, spark: SparkSession, idf_of: np.ndarray):
+        self.idf = spark.sparkContext.broadcast(idf_of)
 
     def of(self, s: np.ndarray, tf: np.ndarray) -> np.ndarray:
         return self.idf.value[slots(s)] * tf.astype(np.float64)
 
+    def drop(self) -> None:
+        self.idf.destroy()
+
 
 def slots(s: np.ndarray) -> np.ndarray:
     """The counters of shingles, by bits that the rows of draws don't use."""
@@ -232,7 +234,7 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     at, held = None, None
 
     def row() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([held.tobytes()], pa.binary())], names=["slice", "counts"])
+        return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([held.sum()], pa.int64()), pa.array([held.tobytes()], pa.binary())], names=["slice", "total", "counts"])
 
     for batch in batches:
         for n, packed in rows_of(batch, 64):
@@ -245,15 +247,32 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield row()
 
 
+def _idf(total: int, n_docs: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The idf of each counter of a slice, of 4 bytes."""
+        for batch in batches:
+            for n, counts in rows_of(batch, 1):
+                # counts of other shingles in the same counter
+                df = np.rint(np.frombuffer(counts, np.int64) - total / COUNTERS)
+                packed = idf(df, n_docs).astype(np.float32).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), pa.array([packed], pa.binary())], names=["slice", "idf"])
+
+    return run
+
+
 def weights(texts: DataFrame) -> Counted:
-    """Document counts of all shingles over all of ``texts`` (text)."""
+    """Document counts of all shingles over all of ``texts`` (text).
+
+    The counts stay on the executors; the driver takes the idf made from them, a few slices at a time."""
     parts = texts.mapInArrow(_counted, "slice int, counts binary").repartition("slice").sortWithinPartitions("slice")
-    counts = np.zeros(COUNTERS, np.int64)
+    counts = cut(parts.mapInArrow(_added, "slice int, total long, counts binary"))
+    total, n_docs = counts.agg(F.sum("total")).first()[0] or 0, texts.count()
+    known = np.full(COUNTERS, idf(np.zeros(1), n_docs)[0], np.float32)
+    size = COUNTERS // SLICES
     # COUNTERS numbers, whatever the size of the table
-    for r in parts.mapInArrow(_added, "slice int, counts binary").collect():
-        size = COUNTERS // SLICES
-        counts[r["slice"] * size : (r["slice"] + 1) * size] = np.frombuffer(r["counts"], np.int64)
-    return Counted(texts.sparkSession, counts, texts.count())
+    for r in counts.select("slice", "counts").coalesce(TAKEN).mapInArrow(_idf(total, n_docs), "slice int, idf binary").toLocalIterator():
+        known[r["slice"] * size : (r["slice"] + 1) * size] = np.frombuffer(r["idf"], np.float32)
+    return Counted(texts.sparkSession, known)
 
 
 SIGNED = "doc_id long, key binary, size long, bands array<long>"
@@ -400,6 +419,7 @@ def near_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
         # leaders have met all members; whoever is left goes on with its new class
         pending = pending.where("NOT leads").select(*bucket, "node", "shingles", "order")
         pending = cut(pending.join(roots, "node", "left").withColumn("class", F.coalesce("root", "node")).drop("root"))
+    known.drop()  # all that reads it is written
     classes = distinct.select("key", F.col("node").alias("class_id"))
     classes = classes.join(roots.withColumnRenamed("node", "class_id"), "class_id", "left").select("key", F.coalesce("root", "class_id").alias("class_id"))
     named = signed.select("doc_id", "key").join(cut(classes), "key").select("doc_id", "class_id")

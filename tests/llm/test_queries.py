@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -220,6 +221,23 @@ def test_every_shingle_has_a_document_count(spark):
     assert got == {i: 198 if i == 199 else i for i in range(200)}
 
 
+def test_document_counts_stay_on_the_executors(spark):
+    """The driver holds 4 bytes for each counter and no counts."""
+    texts = spark.createDataFrame([(" ".join(f"word{k}x{i}" for i in range(40)),) for k in range(50)], "text string").repartition(5)
+    tracemalloc.start()
+    try:
+        known = neardup.weights(texts)
+        _, peak = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert known.idf.value.dtype == np.float32 and len(known.idf.value) == neardup.COUNTERS
+    assert peak < 12 * neardup.COUNTERS
+    s, tf = neardup.shingles(list(neardup.words_of(["in none of the documents"]))[0])
+    assert (known.of(s, tf) == 2).all()
+    none = neardup.weights(texts.limit(0))
+    assert (none.idf.value == 1).all()
+
+
 def test_pipeline_stages_against_plain_python(spark, plain):
     import corpus_pipeline
 
